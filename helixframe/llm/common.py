@@ -6,7 +6,6 @@ objects).  A *word* is a maximal run of bytes other than space and ``\\t \\n \\v
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -99,7 +98,7 @@ _BASE_BYTES, _BASE_WORDS = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 class Words:
     """The words of a run of texts: byte positions, 64-bit hashes, and where each text's words begin."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, inside: np.ndarray = _IS_WORD):
         texts = pa.array(texts, pa.large_string()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_string())
         n = len(texts)
         _, off, data = texts.buffers()
@@ -109,14 +108,14 @@ class Words:
         size = int(self.off[-1])
         self.data = np.frombuffer(data, np.uint8, size, first) if size else np.zeros(0, np.uint8)
         self.lower = lower
-        inside = np.zeros(size + 2, np.uint8)
-        inside[1:-1] = _IS_WORD[self.data]
-        begin = inside[1:-1] & (1 - inside[:-2])
-        finish = inside[1:-1] & (1 - inside[2:])
+        word = np.zeros(size + 2, np.uint8)
+        word[1:-1] = inside[self.data]
+        begin = word[1:-1] & (1 - word[:-2])
+        finish = word[1:-1] & (1 - word[2:])
         edge = self.off[:-1][self.off[:-1] < size]
-        begin[edge] = inside[1:-1][edge]
+        begin[edge] = word[1:-1][edge]
         last = self.off[1:][self.off[1:] > 0] - 1
-        finish[last] = inside[1:-1][last]
+        finish[last] = word[1:-1][last]
         self.start = np.flatnonzero(begin)
         self.end = np.flatnonzero(finish) + 1
         #: doc k has words at[k] .. at[k + 1]
@@ -169,6 +168,13 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int | None = None)
     yield batch.slice(begin)
 
 
+def row_chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``chunks`` of a batch whose rows are packed into a struct ``row``: columns row and text (taken from the struct)."""
+    rows = batch.column("row")
+    text = rows.field(rows.type.get_field_index("text"))
+    yield from chunks(pa.RecordBatch.from_arrays([rows, text], ["row", "text"]))
+
+
 def ids_of(column: pa.Array) -> np.ndarray:
     """Ids as int64, NULL_ID for null."""
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
@@ -177,7 +183,3 @@ def ids_of(column: pa.Array) -> np.ndarray:
 def ragged(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
     """values[at[k] : at[k + 1]] as the k-th list."""
     return pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(values, kind)).cast(pa.list_(kind))
-
-
-def worker_session_ready(env: str = "OMP_NUM_THREADS") -> None:
-    os.environ.setdefault(env, "1")

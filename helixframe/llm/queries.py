@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.quality import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "junk_score", "toxic_score", "kept")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.decontaminate import contaminated
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "similarity")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.mixing import mix_sources
 
@@ -17,6 +37,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.near_dedup import near_components
+
+    return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.exact_dedup import exact_dedup
 
@@ -24,6 +56,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.sharding import hilbert_shards
 
@@ -39,8 +77,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc_segments": op8_warc_segments,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_token_counts": op10_token_counts,
 }
@@ -51,4 +95,16 @@ SQL: dict[str, str] = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
     """,
+    "op8_warc_segments": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+             h AS (SELECT page_id, t, sha1(t) AS x FROM p),
+             g AS (SELECT x, max(page_id) AS last FROM h GROUP BY x)
+        SELECT page_id, strlen(t) AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST(((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)),
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM h JOIN g USING (x)
+    """,
 }
