@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -264,8 +265,6 @@ class Profile(Predicate):
 
 def profile_distance(profile: str, alphabet: Alphabet):
     """An Arrow UDF: how many symbols of a sequence can't stand for the profile's (null for a null sequence)."""
-    import pandas as pd
-
     missing, may_be = alphabet.missing, alphabet.may_be
     kinds = "".join(dict.fromkeys(profile))
 

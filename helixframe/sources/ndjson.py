@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,8 +99,6 @@ def _sequence(raw: Column, name: str, reference: str, alphabet: Alphabet) -> tup
 
 def _decompressed(reference: str):
     """base64 of zstd with the reference as dictionary."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         import base64
