@@ -183,8 +183,8 @@ LANGUAGE: dict[str, tuple[str, str | None]] = {
     "p14_insertions": ("reads.insertions()", f"SELECT pos AS position, ins AS \"insertedSymbols\", 'reading' AS \"sequenceName\", CAST(count(DISTINCT l_orderkey) AS INT) AS count FROM ({INSERTED}) GROUP BY 1, 2"),
     "p16_common_ancestor": (
         "customer.filter(c_acctbal > 9990.0).mostRecentCommonAncestor('c_place')",
-        f"""SELECT CAST(0 AS INT) AS "missingNodeCount", CASE WHEN k = 1 THEN place WHEN r = 1 THEN region ELSE 'WORLD' END AS "mrcaNode",
-            CASE WHEN k = 1 THEN region WHEN r = 1 THEN 'WORLD' END AS "mrcaParent", CAST(CASE WHEN k = 1 THEN 2 WHEN r = 1 THEN 1 ELSE 0 END AS INT) AS "mrcaDepth"
+        f"""SELECT CAST(0 AS INT) AS "missingNodeCount", CASE WHEN k = 1 THEN place WHEN r = 1 THEN region WHEN k > 0 THEN 'WORLD' END AS "mrcaNode",
+            CASE WHEN k = 1 THEN region WHEN r = 1 THEN 'WORLD' END AS "mrcaParent", CAST(CASE WHEN k = 1 THEN 2 WHEN r = 1 THEN 1 WHEN k > 0 THEN 0 END AS INT) AS "mrcaDepth"
             FROM (SELECT count(DISTINCT c_place) AS k, count(DISTINCT regionkey) AS r, min(c_place) AS place, min(replace(r_name, ' ', '_')) AS region
                   FROM {_CUSTOMER} JOIN region ON regionkey = r_regionkey WHERE c_acctbal > 9990)""",
     ),
