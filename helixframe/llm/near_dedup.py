@@ -8,10 +8,11 @@ Each node's signature has ``COORDS`` min-hash coordinates; every coordinate-valu
 * Skip: keys that only one node holds can't collide, so a node with fewer than MATCHES shared keys has no partner.
 * Prefix: of a node's m shared keys, ordered from rare to frequent, any MATCHES agreements include one of the first
   m - MATCHES + 1, so only these are posted; frequent keys (a passage that many texts share) are mostly left out.
-* Merge: nodes meet in the lists of equal keys.  First each list is compared with one hub, which links the bulk of a group of near copies without
-  expanding it to pairs; then all pairs of a list whose nodes lie in different components are compared, so that no link
-  which could join two components is lost.  Collisions are counted on the signatures, pairs of at least MATCHES are kept, and
-  their links are confirmed on the full sets.
+* Merge: nodes meet in the lists of equal keys.  First each list is compared with two hubs, its smallest and its largest node:
+  collisions are counted on the signatures, and pairs of at least MATCHES are confirmed on the full sets.  Lists that then lie in one component are done.
+  In the others all pairs are compared inside a task, list by list (long lists in pairs of blocks), by counting common shingles of
+  32-bit sets with a matrix product; what leaves the task is a spanning forest of the links, confirmed on the full sets in turn.
+  So no link that could join two components is lost, and a group of near copies is never expanded to rows of pairs.
 
 Components come from distributed contraction.  Edge cases: null, empty and wordless texts have no shingles and are linked with nothing;
 texts of one to four words have their whole sequence as the one shingle; rows that repeat an id count as one node; a null
@@ -33,6 +34,8 @@ from helixframe.llm.components import components
 SHINGLE = 5
 PERCENT = 85
 COORDS, MATCHES = 48, 26
+#: A list longer than this, or with more shingles, is compared in pairs of blocks.
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -92,7 +95,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def posting_lists(nodes: DataFrame) -> DataFrame:
     """(id, key): the prefix of each node's shared keys, from (id, keys)."""
     each = nodes.select("id", F.explode("keys").alias("key"))
-    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join below it reads two plain exchanges, and a hot key can be split
+    counts = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     mine = each.join(counts, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
     prefix = F.slice("s", F.lit(1), F.size("s") - MATCHES + 1)
     return mine.where(F.size("s") >= MATCHES).select("id", F.explode(prefix).alias("p")).select("id", F.col("p.key").alias("key"))
@@ -109,6 +113,86 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.where(collisions >= MATCHES).where(inter * 100 >= (na + nb - inter) * percent).select("a", "b")
 
 
+def list_rows(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes of each list with their 32-bit sets, dealt and sorted by list and pair of blocks.
+
+    A list has as many blocks as keep a pair of them within BLOCK_NODES nodes and BLOCK_SHINGLES shingles each.
+    """
+    small = sets.select("id", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
+    own = lists.select("key", "id").join(small, "id")
+    size = lists.select("key", "id").join(sets.select("id", F.size("shingles").alias("n")), "id")
+    size = size.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = own.join(size, "key").withColumn("mine", mine).withColumn("other", other)
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "low")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets have in common, by a product of the matrix of sets and values, in slices of the values."""
+    if len(sets) == 2:
+        n = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[len(sets[0]), n], [n, len(sets[1])]])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, value, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = seen[value] > 1
+    place = np.cumsum(seen > 1) - 1
+    value, owner = place[value[keep]], owner[keep]
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(value[-1]) + 1 if len(value) else 0, 4096):
+        a, b = np.searchsorted(value, [lo, lo + 4096])
+        grid = np.zeros((len(sets), 4096), np.float32)
+        grid[owner[a:b], value[a:b] - lo] = 1
+        out += grid @ grid.T
+    return out
+
+
+def _forest(percent: int):
+    """Spanning edges of the links inside each list (pair of blocks), on 32-bit sets."""
+
+    def edges(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        n = np.array([len(x) for x in sets])
+        both = common_counts(sets)
+        near = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1)
+        up = list(range(len(ids)))
+
+        def root(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        for a, b in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                up[y] = x
+                yield min(ids[a], ids[b]), max(ids[a], ids[b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+
+        def out() -> pa.RecordBatch:
+            found = list(edges(list(held), list(held.values()))) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            low = b.column("low")
+            flat, at = np.asarray(low.flatten()), np.concatenate([[0], np.cumsum(np.asarray(low.value_lengths()))])
+            for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "id")), strict=True)):
+                if row[:3] != group:
+                    if len(held) > 1:
+                        yield out()
+                    group, held = row[:3], {}
+                held[row[3]] = np.unique(flat[at[k] : at[k + 1]])
+        if len(held) > 1:
+            yield out()
+
+    return run
+
+
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -127,10 +211,9 @@ def near_components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = components(written(confirmed(_hub_pairs(postings), sets, percent), "links"))
     lists = postings.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     mixed = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    lists = written(lists.join(mixed, "key", "left_semi"), "lists")
-    other = lists.select("key", F.col("id").alias("other"), F.col("component").alias("beside"))
-    cross = lists.join(other, "key").where("component < beside").select(*_pair("id", "other")).distinct()
-    links = confirmed(cross, sets, percent).unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    rows = list_rows(lists.join(mixed, "key", "left_semi"), sets)
+    forest = rows.mapInArrow(_forest(percent), "a long, b long").distinct()
+    links = confirmed(forest, sets, percent).unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
     final = components(links)
     label = nodes.join(final, "id", "left").select(*print_, F.coalesce("component", "id").alias("component"))
     out = signed.drop("keys").join(label, print_, "left").withColumn("component", F.coalesce("component", "doc_id"))
