@@ -90,6 +90,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM benchmark),
+             i AS (SELECT item_id, len(v) AS l, least(5, len(v)) AS k, array_to_string(list_slice(v, p, p + least(5, len(v)) - 1), ' ') AS sh
+                   FROM b, unnest(range(1, len(v) - least(5, len(v)) + 2)) t(p)),
+             c AS (SELECT item_id, l, k, sh, count(*) AS n FROM i GROUP BY ALL),
+             s AS (SELECT doc_id, len(w) AS m, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS sh
+                   FROM d, (SELECT DISTINCT k FROM c), unnest(range(1, len(w) - k + 2)) t(p)),
+             h AS (SELECT DISTINCT doc_id, item_id, m, l, k, least(l, m) AS n, q FROM s JOIN c USING (k, sh), unnest(range(greatest(1, p - (least(l, m) - k)), least(p, m - least(l, m) + 1) + 1)) t(q)),
+             x AS (SELECT h.doc_id, h.item_id, q, h.n, h.l, h.k, s.sh, count(*) AS cw FROM h JOIN s ON s.doc_id = h.doc_id AND s.k = h.k AND s.p BETWEEN q AND q + h.n - h.k GROUP BY ALL),
+             y AS (SELECT doc_id, x.item_id, q, x.n, x.l, x.k, sum(least(cw, c.n)) AS shared FROM x JOIN c ON c.item_id = x.item_id AND c.sh = x.sh GROUP BY ALL),
+             z AS (SELECT doc_id, item_id, max(CAST(shared AS DOUBLE) / CAST(n - k + 1 + l - k + 1 - shared AS DOUBLE)) AS sim FROM y GROUP BY ALL)
+        SELECT doc_id, item_id, round(sim, 6) AS similarity FROM z WHERE sim >= 0.8
+    """,
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+             s AS (SELECT doc_id, k, array_to_string(list_slice(w, k, k + 19), ' ') AS win FROM d, unnest(range(1, len(w) - 18)) t(k)),
+             f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) AS r FROM s),
+             gone AS (SELECT DISTINCT doc_id, k + j AS p FROM f, unnest(range(20)) t(j) WHERE r > 1),
+             each AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) t(p)),
+             kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS txt, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op5_near_dedup": r"""
+        WITH RECURSIVE
+             d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + least(5, len(w)) - 1), ' ') AS sh FROM d, unnest(range(1, len(w) - least(5, len(w)) + 2)) t(k) WHERE len(w) > 0),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+             e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+             ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+             r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT ends.b, r.c FROM r JOIN ends ON r.doc_id = ends.a)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(c) AS component_id, d.doc_id = min(c) AS kept
+        FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n
+    """,
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
