@@ -26,6 +26,8 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +148,7 @@ def _post(window: int, rounds: int):
     return run
 
 
-_PENDING = "doc_id long, text string, gone binary, hashes binary, checks binary, starts binary"
+_PENDING = "doc_id long, text binary, gone binary, hashes binary, checks binary, starts binary"
 
 
 def _settle(window: int, rounds: int):
@@ -185,7 +187,9 @@ def _settle(window: int, rounds: int):
                     return [pa.array([x[at[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in columns]
 
                 begin = begin.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), c.column("text").cast(pa.string()), *lists(gone, begin), *lists(~gone, g, check, begin)], ["doc_id", "text", "gone", "hashes", "checks", "starts"])
+                data, pack = w.data.tobytes(), zstandard.ZstdCompressor(1).compress  # the text is exchanged once more
+                packed = [pack(data[a:z]) for a, z in zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(packed, pa.binary()), *lists(gone, begin), *lists(~gone, g, check, begin)], ["doc_id", "text", "gone", "hashes", "checks", "starts"])
 
     return run
 
@@ -197,7 +201,7 @@ _TYPES = {"ids": np.int64, "hashes": np.uint64, "checks": np.uint32, "starts": n
 def _deal(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = np.asarray(pa.compute.binary_length(b.column("hashes"))) // 8
+            size = np.asarray(pc.binary_length(b.column("hashes"))) // 8
             got = {k: np.frombuffer(b"".join(b.column(k).to_pylist()), t) for k, t in _TYPES.items() if k != "ids"}
             got["ids"] = np.repeat(np.asarray(b.column("doc_id")), size)
             to = (got["hashes"] % np.uint64(buckets)).astype(np.int64)
@@ -238,11 +242,12 @@ _CLEANED = "doc_id long, whole_sha256 string, n_removed long, kept_sha256 string
 
 def _clean(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for c in chunks(b):
-                out: list[tuple] = []
+            for k in range(0, b.num_rows, 500):
+                c, out = b.slice(k, 500), []
                 for text, gone, more in zip(c.column("text").to_pylist(), c.column("gone").to_pylist(), c.column("more").to_pylist(), strict=True):
-                    words = text.encode().split()
+                    words = unpack(text).split()
                     begin = np.frombuffer(gone + b"".join(more or []), np.int32)
                     begin = begin[begin <= len(words) - window]  # an id may stand for texts of other lengths
                     cover = np.zeros(len(words) + window + 1, np.int32)
@@ -267,7 +272,8 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, k
     own = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     posted = written(own.mapInArrow(_post(window, rounds), _POSTED), "anchors")
     each = posted.select("doc_id", F.explode("anchors").alias("anchor"))
-    twice = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written, so that the join below it reads two plain exchanges, and a hot anchor can be split
+    twice = written(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated")
     hit = each.join(twice, "anchor", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("anchor").alias("repeated"))
     some = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").join(hit, "id")
     settled = written(some.mapInArrow(_settle(window, rounds), _PENDING), "settled")
