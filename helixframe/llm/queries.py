@@ -66,7 +66,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.sharding import hilbert_shards
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = hilbert_shards(docs)
+    out = hilbert_shards(docs, keep=["doc_id"])
     return out.select("row.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

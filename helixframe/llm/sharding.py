@@ -61,17 +61,18 @@ def ordinal(column: Column, kind: T.DataType) -> Column:
     return F.coalesce(value, F.lit(-(1 << 62)))
 
 
-def hilbert_shards(df: DataFrame, dims: Sequence[str] = ("source", "lang", "size"), shards: int = 8, bits: int = BITS, law: str = "rows") -> DataFrame:
+def hilbert_shards(df: DataFrame, dims: Sequence[str] = ("source", "lang", "size"), shards: int = 8, bits: int = BITS, law: str = "rows", keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` (doc_id, text, ...) as a struct ``row`` with size, text_crc32, curve, shard and slot.
 
     law "rows": shard sizes are at most one row apart.  A dimension named size is the UTF-8 bytes of the text plus 1.
+    keep: the columns of ``row``, doc_id among them (None: all); what isn't kept isn't exchanged.
     """
     if law != "rows":
         raise ValueError(f"unknown law {law!r}")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     own = lambda d: ordinal(size, T.LongType()) if d == "size" else ordinal(F.col(d), df.schema[d].dataType)
     base = df.select(
-        F.struct(*df.columns).alias("row"),
+        F.struct(*(df.columns if keep is None else keep)).alias("row"),
         size.alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64("text", F.col("text").isNull()).alias("same"),
