@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import NULL_ID, Words, chunks, grams, ids_of, mix, ragged, written
+from helixframe.llm.common import CHUNK_BYTES, NULL_ID, Words, chunks, grams, ids_of, mix, ragged, written
 
 WINDOW = 20
 ROUNDS = 4
@@ -151,12 +151,32 @@ def _post(window: int, rounds: int):
 _PENDING = "doc_id long, text binary, gone binary, hashes binary, checks binary, starts binary"
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd: what is exchanged twice from here on."""
+    pack = zstandard.ZstdCompressor(3).compress
+    for b in batches:
+        for c in chunks(b):
+            text = c.column("text").cast(pa.large_binary())
+            yield pa.RecordBatch.from_arrays([c.column("id"), pa.array([pack(x.as_buffer()) for x in text], pa.binary())], ["id", "packed"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``chunks`` of a batch with packed texts, which stay beside the texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    total = np.cumsum(np.asarray(pc.binary_length(batch.column("packed")), np.int64))
+    part = np.append(0, total[:-1]) // CHUNK_BYTES
+    for begin, n in zip(*np.unique(part, return_index=True, return_counts=True)[1:], strict=True):
+        c = batch.slice(int(begin), int(n))
+        text = pa.array([unpack(x) for x in c.column("packed").to_pylist()], pa.large_binary()).cast(pa.large_string())
+        yield from chunks(c.append_column("text", text))
+
+
 def _settle(window: int, rounds: int):
     """Windows on repeated anchors: repeats inside the chunk are settled, the first ones stay pending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks(b):
+            for c in _unpacked(b):
                 w = Words(c.column("text"))
                 h = w.hashes()
                 start, name, _ = anchors(h, w.at, window, rounds)
@@ -187,9 +207,7 @@ def _settle(window: int, rounds: int):
                     return [pa.array([x[at[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in columns]
 
                 begin = begin.astype(np.int32)
-                data, pack = w.data.tobytes(), zstandard.ZstdCompressor(1).compress  # the text is exchanged once more
-                packed = [pack(data[a:z]) for a, z in zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(packed, pa.binary()), *lists(gone, begin), *lists(~gone, g, check, begin)], ["doc_id", "text", "gone", "hashes", "checks", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), c.column("packed"), *lists(gone, begin), *lists(~gone, g, check, begin)], ["doc_id", "text", "gone", "hashes", "checks", "starts"])
 
     return run
 
@@ -275,7 +293,8 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, k
     # written, so that the join below it reads two plain exchanges, and a hot anchor can be split
     twice = written(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated")
     hit = each.join(twice, "anchor", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("anchor").alias("repeated"))
-    some = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").join(hit, "id")
+    packed = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").mapInArrow(_pack, "id long, packed binary")
+    some = packed.join(hit, "id")
     settled = written(some.mapInArrow(_settle(window, rounds), _PENDING), "settled")
     total = settled.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0] // 8
     buckets = max(1, -(-total // BUCKET))
