@@ -148,7 +148,7 @@ def _post(window: int, rounds: int):
     return run
 
 
-_PENDING = "doc_id long, text binary, gone binary, hashes binary, checks binary, starts binary"
+_PENDING = "doc_id long, packed binary, gone binary, starts binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,14 +200,15 @@ def _settle(window: int, rounds: int):
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(g))))
                 gone = same & ~((ids[doc] == ids[doc[lead]]) & (begin == begin[lead])) if len(g) else same
 
-                def lists(mask: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+                begin = begin.astype(np.int32)
+
+                def lists(mask: np.ndarray) -> list[pa.Array]:
                     at = np.flatnonzero(mask)
-                    at = at[np.argsort(doc[at], kind="stable")]
+                    at = at[np.lexsort((begin[at], doc[at]))]
                     cut = np.searchsorted(doc[at], np.arange(len(ids) + 1))
-                    return [pa.array([x[at[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in columns]
+                    return [pa.array([begin[at[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())]
 
-                begin = begin.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), c.column("packed"), *lists(gone, begin), *lists(~gone, g, check, begin)], ["doc_id", "text", "gone", "hashes", "checks", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), c.column("packed"), *lists(gone), *lists(~gone)], ["doc_id", "packed", "gone", "starts"])
 
     return run
 
@@ -216,18 +217,26 @@ _ENTRIES = "bucket long, ids binary, hashes binary, checks binary, starts binary
 _TYPES = {"ids": np.int64, "hashes": np.uint64, "checks": np.uint32, "starts": np.int32}
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, window: int):
+    """Entries of the pending windows; their hashes are made again from the text, which is less than to keep them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = np.asarray(pc.binary_length(b.column("hashes"))) // 8
-            got = {k: np.frombuffer(b"".join(b.column(k).to_pylist()), t) for k, t in _TYPES.items() if k != "ids"}
-            got["ids"] = np.repeat(np.asarray(b.column("doc_id")), size)
-            to = (got["hashes"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            which, begin = np.unique(to[order], return_index=True)
-            ends = np.append(begin[1:], len(order))
-            cols = [pa.array([got[k][order[i:j]].tobytes() for i, j in zip(begin, ends, strict=True)], pa.binary()) for k in _TYPES]
-            yield pa.RecordBatch.from_arrays([pa.array(which), *cols], ["bucket", *_TYPES])
+            for c in _unpacked(b):
+                w = Words(c.column("text"))
+                h = w.hashes()
+                starts = c.column("starts").to_pylist()
+                size = [len(x) // 4 for x in starts]
+                begin = np.frombuffer(b"".join(starts), np.int32)
+                at = np.repeat(w.at[:-1], size) + begin
+                checks = (grams(mix(h), window)[at] >> np.uint64(32)).astype(np.uint32)
+                got = {"ids": np.repeat(np.asarray(c.column("doc_id")), size), "hashes": grams(h, window)[at], "checks": checks, "starts": begin}
+                to = (got["hashes"] % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                which, first = np.unique(to[order], return_index=True)
+                ends = np.append(first[1:], len(order))
+                cols = [pa.array([got[k][order[i:j]].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()) for k in _TYPES]
+                yield pa.RecordBatch.from_arrays([pa.array(which), *cols], ["bucket", *_TYPES])
 
     return run
 
@@ -264,7 +273,7 @@ def _clean(window: int, keep_text: bool):
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 c, out = b.slice(k, 500), []
-                for text, gone, more in zip(c.column("text").to_pylist(), c.column("gone").to_pylist(), c.column("more").to_pylist(), strict=True):
+                for text, gone, more in zip(c.column("packed").to_pylist(), c.column("gone").to_pylist(), c.column("more").to_pylist(), strict=True):
                     words = unpack(text).split()
                     begin = np.frombuffer(gone + b"".join(more or []), np.int32)
                     begin = begin[begin <= len(words) - window]  # an id may stand for texts of other lengths
@@ -296,12 +305,12 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, k
     packed = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").mapInArrow(_pack, "id long, packed binary")
     some = packed.join(hit, "id")
     settled = written(some.mapInArrow(_settle(window, rounds), _PENDING), "settled")
-    total = settled.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0] // 8
+    total = settled.agg(F.coalesce(F.sum(F.octet_length("starts")), F.lit(0))).first()[0] // 4
     buckets = max(1, -(-total // BUCKET))
-    entries = settled.select("doc_id", "hashes", "checks", "starts").mapInArrow(_deal(buckets), _ENTRIES)
+    entries = settled.select("doc_id", "packed", "starts").mapInArrow(_deal(buckets, window), _ENTRIES)
     later = entries.repartition(buckets, "bucket").mapInArrow(_first_stays, "doc_id long, more binary")
     later = later.groupBy("doc_id").agg(F.collect_list("more").alias("more"))
-    cleaned = settled.select("doc_id", "text", "gone").join(later, "doc_id", "left").mapInArrow(_clean(window, keep_text), _CLEANED)
+    cleaned = settled.select("doc_id", "packed", "gone").join(later, "doc_id", "left").mapInArrow(_clean(window, keep_text), _CLEANED)
     cleaned = cleaned.dropDuplicates(["doc_id", "whole_sha256"])
     out = posted.drop("anchors").join(cleaned, ["doc_id", "whole_sha256"], "left")
     extra = ["kept_text"] if keep_text else []
