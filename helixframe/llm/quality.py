@@ -1,13 +1,19 @@
 """Quality classifier: weak labellers, expectation-maximisation of their accuracies, and a hashed linear scorer.
 
 Two aspects are judged: *junk* (repetition, tables of fragments, symbol noise, shouting) and *toxic* (insults).  For each,
-overlapping heuristic labellers vote good, bad or abstain on every document; a table of gold labels, where given, votes
-as one more labeller that may err.  EM runs on the counts of vote patterns over all documents (at most 3^labellers
+overlapping heuristic labellers vote good, bad or abstain on every document; the toxic ones abstain where they find no insult, since
+the list is English and short.  A table of gold labels, where given, anchors the documents it names: their P(bad) stays at 0.99 or 0.01.
+It also teaches two toxic labellers the words of each language (column ``lang``, if there is one) that stand in toxic documents and
+hardly in clean ones, on at most about ``LEXICON_ROWS`` gold documents of either class; a gold document itself is voted on with the
+words of the other half of the gold documents, so that EM doesn't overrate these labellers.
+EM runs on the counts of vote patterns over all documents (at most 3^labellers
 rows, whatever the corpus), and estimates each labeller's outcome rates given the true class.  The posterior labels of a sample
 of ``train_rows`` documents (a documented bound, the smallest hashes of doc_id) train a linear scorer by FTRL with L1
 regularisation over hashed features: each distinct lower-cased word, and each statistic's bin.  The scorer then reads every
 whole document.  A document is rejected if either score is 0.5 or more.
 
+A language needs about five toxic gold documents with a word in common (of some 10 % toxic ones) before that word is learned.
+
 Edge cases: null and empty texts have no words, get no vote and only the scorer's bias and bins; ties at the sample's
 border and repeated rows are taken alike; an empty table gives an empty result; other columns pass through.
 """
@@ -18,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import Words, chunks, mix, row_chunks
+from helixframe.llm.common import Words, chunks, ids_of, mix, row_chunks
 
 ASPECTS = ("junk", "toxic")
 #: Common English insults, the lexicon of two labellers.
@@ -32,6 +39,11 @@ INSULTS = (
 )
 BITS = 18
 TRAIN_ROWS = 12_000
+#: Gold documents of either class, and words, that the learned labellers use at most.
+LEXICON_ROWS, LEXICON_WORDS = 10_000, 20_000
+#: A learned word's evidence (log-likelihood ratio against the language's toxic share) and share of toxic documents.
+_EVIDENCE, _PRECISION = 11.5, 0.8
+_SURE = 0.99
 #: Bin edges of the statistics, in the order of _STATS.
 _STATS = ("symbols", "repeats", "upper", "distinct", "bars", "length")
 _EDGES = {
@@ -85,6 +97,19 @@ class Features:
     def insults(self) -> np.ndarray:
         return np.bincount(self.words.doc_of()[np.isin(self.hash, _insult_hashes())], minlength=len(self.n))
 
+    def keys(self, langs: pa.Array) -> np.ndarray:
+        """Each word's hash, mixed with its text's language."""
+        names = langs.cast(pa.string()).fill_null("").dictionary_encode()
+        salt = np.array([xxhash.xxh3_64_intdigest(x) for x in names.dictionary.to_pylist()], np.uint64)
+        return self.hash + salt[names.indices.to_numpy()][self.words.doc_of()]
+
+    def learned(self, keys: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+        """How many of each text's words are in the sorted lexicon."""
+        may = np.zeros(1 << 16, bool)
+        may[lexicon >> np.uint64(48)] = True
+        at = np.flatnonzero(may[keys >> np.uint64(48)])
+        return np.bincount(self.words.doc_of()[at[np.isin(keys[at], lexicon)]], minlength=len(self.n))
+
     def bins(self) -> np.ndarray:
         """A hashed feature for each statistic's bin: one row for each document."""
         out = [np.searchsorted(_EDGES[s], self.stats[s], "right") + 16 * k for k, s in enumerate(_STATS)]
@@ -105,10 +130,10 @@ def _vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.where(bad, 2, np.where(good, 1, 0))
 
 
-def votes(f: Features) -> dict[str, list[np.ndarray]]:
-    """The heuristic labellers' votes."""
+def votes(f: Features, learned: np.ndarray) -> dict[str, list[np.ndarray]]:
+    """The heuristic labellers' votes; ``learned`` counts each text's words that the gold labels taught."""
     s, some = f.stats, f.n > 0
-    hits = f.insults()
+    hits, never = f.insults(), np.zeros(len(f.n), bool)
     return {
         "junk": [
             _vote(some & (s["symbols"] > 0.08), some & (s["symbols"] < 0.02)),
@@ -117,36 +142,102 @@ def votes(f: Features) -> dict[str, list[np.ndarray]]:
             _vote(some & (s["upper"] > 0.5), some & (s["upper"] < 0.3)),
             _vote(some & (s["distinct"] < 0.2), some & np.isfinite(s["distinct"]) & (s["distinct"] > 0.35)),
         ],
-        "toxic": [_vote(hits >= 1, some & (hits == 0)), _vote(hits >= 2, np.zeros(len(some), bool)), _vote(some & (hits > 0.004 * f.n), some & (hits == 0) & (f.n > 20))],
+        "toxic": [_vote(x, never) for x in (hits >= 1, hits >= 2, hits > 0.004 * f.n, learned >= 1, learned >= 2)],
     }
 
 
-HEURISTICS = {"junk": 5, "toxic": 3}
+HEURISTICS = {"junk": 5, "toxic": 5}
+
 
+def _lang(df: DataFrame) -> Column:
+    return (F.col("lang").cast("string") if "lang" in df.columns else F.lit("")).alias("lang")
 
-def vote_table(df: DataFrame) -> DataFrame:
-    """(doc_id, junk, toxic): each document's votes, a base-3 number for each aspect."""
+
+def _half(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+
+def learn_words(df: DataFrame, sure: DataFrame, rows: int = LEXICON_ROWS) -> list[np.ndarray]:
+    """Sorted keys of the words that mark toxic documents: by the gold documents of half 0, of half 1, and by all.
+
+    ``sure`` has doc_id and gold_toxic.
+    """
+    known = {r[0]: r[1] for r in sure.where("gold_toxic IN (0, 1)").groupBy("gold_toxic").count().collect()}
+    if not known.get(1) or not known.get(0):
+        return [np.zeros(0, np.uint64)] * 3
+    share = [min(1.0, rows / known[c]) for c in (0, 1)]
+    most = F.when(F.col("gold_toxic") == 1, _up_to(share[1])).when(F.col("gold_toxic") == 0, _up_to(share[0]))
+    some = sure.where(F.xxhash64(F.lit(43), F.col("doc_id")) <= most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b):
-                v = votes(Features(c.column("text")))
-                code = [sum(x.astype(np.int32) * 3**k for k, x in enumerate(v[a])) for a in ASPECTS]
-                yield pa.RecordBatch.from_arrays([c.column("doc_id").cast(pa.int64()), *[pa.array(x, pa.int32()) for x in code]], ["doc_id", *ASPECTS])
+                f = Features(c.column("text"))
+                keys, doc = f.keys(c.column("lang")), f.words.doc_of()
+                first = np.unique(np.stack([doc.astype(np.uint64), keys]), axis=1)
+                of = first[0].astype(np.int64)
+                cell = _half(ids_of(c.column("doc_id"))) * 2 + c.column("gold_toxic").to_numpy()
+                langs = c.column("lang").take(pa.array(np.concatenate([of, np.arange(len(f.n))])))
+                # a null key stands for the document itself
+                key = pa.array(np.concatenate([first[1].view(np.int64), np.zeros(len(f.n), np.int64)]), mask=np.arange(len(of) + len(f.n)) >= len(of))
+                yield pa.RecordBatch.from_arrays([langs, key, pa.array(cell[np.concatenate([of, np.arange(len(f.n))])])], ["lang", "key", "cell"])
+
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _lang(df)).join(F.broadcast(some.select("doc_id", F.col("gold_toxic").cast("long").alias("gold_toxic"))), "doc_id")
+    cells = [F.count_if(F.col("cell") == k).alias(f"c{k}") for k in range(4)]  # half * 2 + toxic
+    count = docs.mapInArrow(run, "lang string, key long, cell long").groupBy("lang", "key").agg(*cells).where("key IS NULL OR (c1 + c3 >= 3)")
+    ratio = share[1] / share[0]
+    toxic = F.col("c1") + F.col("c3")
+    count = count.where(F.col("key").isNull() | (toxic >= _PRECISION * (toxic + ratio * (F.col("c0") + F.col("c2"))) / 2))
+    found = count.orderBy(F.col("key").isNull().desc(), toxic.desc(), "key").limit(LEXICON_WORDS)
+    found = found.select("lang", F.col("key").isNull().alias("whole"), F.coalesce("key", F.lit(0)).alias("key"), *[f"c{k}" for k in range(4)]).toPandas()
+    total = found[found["whole"]].set_index("lang")
+    words = found[~found["whole"]]
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        t, c = (sum(words[f"c{2 * h + k}"].to_numpy(float) for h in halves) for k in (1, 0))
+        all_t, all_c = (sum(total[f"c{2 * h + k}"].reindex(words["lang"]).to_numpy(float) for h in halves) for k in (1, 0))
+        base = np.clip(all_t / np.maximum(all_t + all_c, 1), 1e-6, 1 - 1e-6)
+        q = np.clip(t / np.maximum(t + c, 1), 1e-6, 1 - 1e-6)
+        good = (t * np.log(q / base) + c * np.log((1 - q) / (1 - base)) >= _EVIDENCE) & (t >= _PRECISION * (t + ratio * c)) & (q > base)
+        out.append(np.sort(words["key"].to_numpy(np.int64)[good].view(np.uint64)))
+    return out
+
+
+def _up_to(share: float) -> Column:
+    """The largest 64-bit hash of this share of all."""
+    return F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)
+
+
+def vote_table(df: DataFrame, lexicons: list[np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, junk, toxic, gold_code): each document's votes, a base-3 number for each aspect; gold_code is toxic for a gold document."""
+    lexicons = lexicons or [np.zeros(0, np.uint64)] * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b):
+                f = Features(c.column("text"))
+                keys = f.keys(c.column("lang"))
+                hits = [f.learned(keys, x) for x in lexicons]
+                v = [votes(f, x) for x in (hits[2], np.where(_half(ids_of(c.column("doc_id"))) == 0, hits[1], hits[0]))]
+                code = [sum(x.astype(np.int32) * 3**k for k, x in enumerate(a)) for a in (v[0]["junk"], v[0]["toxic"], v[1]["toxic"])]
+                yield pa.RecordBatch.from_arrays([c.column("doc_id").cast(pa.int64()), *[pa.array(x, pa.int32()) for x in code]], ["doc_id", *ASPECTS, "gold_code"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, junk int, toxic int")
+    return df.select("doc_id", "text", _lang(df)).mapInArrow(run, "doc_id long, junk int, toxic int, gold_code int")
 
 
-def expectation_maximisation(counts: dict[int, int], labellers: int, rounds: int = 50) -> tuple[dict[int, float], np.ndarray]:
+def expectation_maximisation(counts: dict[int, int], labellers: int, rounds: int = 50, gold: bool = False) -> tuple[dict[int, float], np.ndarray]:
     """P(bad) of each vote pattern, and rates[labeller, class, outcome], from the patterns' counts.
 
-    Starts from the majority of the votes; outcome rates are smoothed by one pseudo-count.
+    Starts from the majority of the votes; outcome rates are smoothed by one pseudo-count.  With ``gold`` the last labeller
+    anchors the patterns it votes on.
     """
     codes = sorted(counts)
     n = np.array([counts[c] for c in codes], float)
     outcome = np.array([[c // 3**j % 3 for j in range(labellers)] for c in codes]).reshape(len(codes), labellers)
     bad, good = (outcome == 2).sum(1), (outcome == 1).sum(1)
     p = np.where(bad + good > 0, (bad + 0.1) / (bad + good + 0.2), 0.1)
+    anchored = lambda p: np.where(outcome[:, -1] == 2, _SURE, np.where(outcome[:, -1] == 1, 1 - _SURE, p)) if gold else p
+    p = anchored(p)
     rates = np.zeros((labellers, 2, 3))
     for _ in range(rounds):
         weight = np.stack([n * (1 - p), n * p])
@@ -156,7 +247,7 @@ def expectation_maximisation(counts: dict[int, int], labellers: int, rounds: int
         rates /= rates.sum(2, keepdims=True)
         prior = np.clip(weight.sum(1) / max(n.sum(), 1), 1e-6, 1)
         log = np.log(prior)[:, None] + sum(np.log(rates[j, :, outcome[:, j]]).T for j in range(labellers))
-        p = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+        p = anchored(1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500))))
     return dict(zip(codes, p.tolist(), strict=True)), rates
 
 
@@ -217,30 +308,31 @@ def score_documents(df: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
 
 def fit(df: DataFrame, gold: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Weights of both scorers; ``gold`` has doc_id, quality (0: junk) and toxic (1: toxic)."""
-    table = vote_table(df)
     labellers = dict(HEURISTICS)
     if gold is not None:
         sure = gold.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("gold_toxic"))
         vote = lambda bad, good: F.when(bad, 2).when(good, 1).otherwise(0)
-        table = table.join(sure, "doc_id", "left").select(
+        table = vote_table(df, learn_words(df, sure)).join(sure, "doc_id", "left").select(
             "doc_id",
             (F.col("junk") + 3 ** HEURISTICS["junk"] * vote(F.col("quality") == 0, F.col("quality") == 1)).alias("junk"),
-            (F.col("toxic") + 3 ** HEURISTICS["toxic"] * vote(F.col("gold_toxic") == 1, F.col("gold_toxic") == 0)).alias("toxic"),
+            (F.when(F.col("gold_toxic").isNull(), F.col("toxic")).otherwise(F.col("gold_code")) + 3 ** HEURISTICS["toxic"] * vote(F.col("gold_toxic") == 1, F.col("gold_toxic") == 0)).alias("toxic"),
         )
         labellers = {a: n + 1 for a, n in labellers.items()}
-    patterns = table.groupBy(*ASPECTS).count().collect()  # at most 3^6 * 3^4 rows, of which few occur
+    else:
+        table = vote_table(df).drop("gold_code")
+    patterns = table.groupBy(*ASPECTS).count().collect()  # at most 3^6 * 3^6 rows, of which few occur
     beliefs = {}
     for k, a in enumerate(ASPECTS):
         counts: dict[int, int] = {}
         for r in patterns:
             counts[r[k]] = counts.get(r[k], 0) + r["count"]
-        beliefs[a] = expectation_maximisation(counts, labellers[a])[0] if counts else {}
+        beliefs[a] = expectation_maximisation(counts, labellers[a], gold=gold is not None)[0] if counts else {}
     total = sum(r["count"] for r in patterns)
     if not total:
         return {a: np.zeros((1 << BITS) + 1) for a in ASPECTS}
     place = F.xxhash64(F.lit(41), F.col("doc_id"))
     share = min(1.0, train_rows / total)
-    chosen = df.where(place <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))) if share < 1 else df
+    chosen = df.where(place <= _up_to(share)) if share < 1 else df
     rows = _training_rows(chosen).join(table, "doc_id").orderBy("doc_id", "junk", "toxic").limit(2 * train_rows).toPandas()
     return {a: train_scorer([(np.asarray(x), beliefs[a][c]) for x, c in zip(rows["features"], rows[a], strict=True)]) for a in ASPECTS}
 

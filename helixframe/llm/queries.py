@@ -13,7 +13,7 @@ from helixframe.llm.common import table
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.quality import classify
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return classify(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "junk_score", "toxic_score", "kept")
 
 

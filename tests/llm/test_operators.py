@@ -81,6 +81,29 @@ def test_classifier_on_held_out_documents(spark):
     assert np.mean([kept for kind, kept in held_out if kind < 2]) < 0.05
 
 
+def test_classifier_learns_the_insults_of_other_languages(spark):
+    rng = random.Random(4)
+    insults = ["réeuxpa", "réêou", "réeuxvi", "réeuxch", "réêen"]
+    rows = []
+    for k in range(900):
+        words = prose(rng, 80, 3000).split()
+        if k % 6 == 0:
+            for w in rng.sample(insults, 3):
+                words[rng.randrange(80)] = w
+        rows.append((k, " ".join(words), "fr" if k % 2 == 0 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    gold = spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(900) if k % 5 < 2], "doc_id long, quality int, toxic int")
+    kept = {r[0]: r[1] for r in classify(df, gold).select("row.doc_id", "kept").collect()}
+    assert np.mean([kept[k] for k in range(900) if k % 6 == 0 and k % 5 > 1]) < 0.05
+    assert np.mean([kept[k] for k in range(900) if k % 6 and k % 5 > 1]) > 0.98
+
+
+def test_gold_labels_are_not_outvoted():
+    silent, gold = 0, 3
+    beliefs, _ = expectation_maximisation({silent: 9000, silent + 1 * gold: 500, silent + 2 * gold: 50, 2 + 2 * gold: 50, 2: 400}, 2, gold=True)
+    assert beliefs[silent + 2 * gold] == beliefs[2 + 2 * gold] == 0.99 and beliefs[silent + gold] == pytest.approx(0.01)
+
+
 def test_classifier_takes_odd_documents(frame, docs):
     got = classify(frame(docs)).select("row.*", "kept").collect()
     assert len(got) == len(docs) and all(r.kept is not None for r in got)
