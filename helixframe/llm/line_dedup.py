@@ -1,4 +1,11 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication: repeated passages of lines, and content-defined chunks of lines.
+
+``passage_dedup`` finds every repeated passage of at least two lines that aren't blank.  Each two such lines in a row (with the blank
+ones between) are one window; of windows with equal bytes the first (smallest id, hash of the text, place) stays, and a line goes if it
+stands in a window that isn't the first.  So every line that goes has an equal one that stays.  Windows are matched by 128-bit hash;
+those that follow each other both here and at their first place make one run, whose bytes are compared before it goes.
+
+``line_dedup`` compares chunks only, so it moves less but misses passages whose edges aren't chunk boundaries.
 
 Every line (what stands between ``\\n``) is hashed; a hash rolling over the last ``ROLL`` line hashes ends a chunk where it is 0
 modulo ``EVERY``, once the chunk has ``LEAST`` lines.  Boundaries depend on nearby lines only, so inserted or removed lines
@@ -16,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -109,3 +117,103 @@ def line_dedup(df: DataFrame, keep_text: bool = False) -> DataFrame:
     out = posted.drop("pieces").join(cleaned if keep_text else cleaned.drop("kept_text"), ["id", "whole_sha256"], "left")
     extra = ["kept_text"] if keep_text else []
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), *extra)
+
+
+def full_lines(data: bytes) -> list[tuple[int, int, int]]:
+    """(first byte, end, number) of each line that isn't blank."""
+    out, at = [], 0
+    for k, line in enumerate(data.split(b"\n")):
+        if line.strip():
+            out.append((at, at + len(line), k))
+        at += len(line) + 1
+    return out
+
+
+def _post_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c in chunks(b):
+            sha, lines, keys, at = [], [], [], [0]
+            for text in c.column("text").to_pylist():
+                data = text.encode()
+                full = full_lines(data)
+                sha.append(sha256(data).hexdigest())
+                lines.append(data.count(b"\n") + 1)
+                keys += [xxhash.xxh3_128_digest(data[x[0] : y[1]]) for x, y in zip(full, full[1:], strict=False)]
+                at.append(len(keys))
+            h = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
+            ends = np.array(at)
+            place = np.arange(len(keys)) - np.repeat(ends[:-1], np.diff(ends))
+            windows = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["place", "h1", "h2"])
+            windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), windows)
+            yield pa.RecordBatch.from_arrays([c.column("id"), c.column("mark"), pa.array(sha), pa.array(lines, pa.int64()), windows], ["id", "mark", "whole_sha256", "n_lines", "windows"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that follow each other here and at their first place, as one run of ``n`` windows."""
+    names = ["id", "mark", "place", "n", "f_id", "f_mark", "f_place"]
+    for b in batches:
+        out: list[list] = []
+        for i, mark, hits in zip(*(b.column(c).to_pylist() for c in ("id", "mark", "hits")), strict=True):
+            last = None
+            for h in sorted(hits, key=lambda h: h["place"]):
+                k, first = h["place"], (h["f_id"], h["f_mark"], h["f_place"])
+                if last and k == last[2] + last[3] and first == (last[4], last[5], last[6] + last[3]):
+                    last[3] += 1
+                else:
+                    last = [i, mark, k, 1, *first]
+                    out.append(last)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
+
+
+def _run_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c in chunks(b):
+            out: list[tuple] = []
+            for i, mark, text, runs in zip(*(c.column(x).to_pylist() for x in ("id", "mark", "text", "runs")), strict=True):
+                data = text.encode()
+                full = full_lines(data)
+                out += [(i, mark, r["f_place"], r["n"], data[full[r["f_place"]][0] : full[r["f_place"] + r["n"]][1]]) for r in runs]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["f_id", "f_mark", "f_place", "n", "first_bytes"])
+
+
+def _drop_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c in chunks(b):
+            sha, removed, kept = [], [], []
+            for text, runs in zip(c.column("text").to_pylist(), c.column("runs").to_pylist(), strict=True):
+                data = text.encode()
+                full, gone = full_lines(data), set()
+                for r in runs:
+                    (a, _, first), (_, z, last) = full[r["place"]], full[r["place"] + r["n"]]
+                    if data[a:z] == r["first_bytes"]:
+                        gone.update(range(first, last + 1))
+                out = b"\n".join(x for k, x in enumerate(data.split(b"\n")) if k not in gone)
+                sha.append(sha256(out).hexdigest())
+                removed.append(len(gone))
+                kept.append(out.decode() if gone else None)
+            yield pa.RecordBatch.from_arrays([c.column("id"), c.column("mark"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], ["id", "mark", "n_removed", "kept_sha256", "kept_text"])
+
+
+def passage_dedup(df: DataFrame, keep_text: bool = False) -> DataFrame:
+    """As ``line_dedup``, but without every repeated passage of two lines or more that aren't blank."""
+    text = F.coalesce("text", F.lit(""))
+    own = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    windows = "id long, mark long, whole_sha256 string, n_lines long, windows array<struct<place:int, h1:long, h2:long>>"
+    posted = written(own.mapInArrow(_post_windows, windows), "lines")
+    each = posted.select("id", "mark", F.explode("windows").alias("w")).select("id", "mark", "w.*")
+    firsts = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "place")).alias("first")).where("n > 1").drop("n")
+    again = each.join(firsts, ["h1", "h2"]).where(F.col("first") != F.struct("id", "mark", "place"))
+    hit = F.struct("place", F.col("first.id").alias("f_id"), F.col("first.mark").alias("f_mark"), F.col("first.place").alias("f_place"))
+    hits = again.groupBy("id", "mark").agg(F.collect_set(hit).alias("hits"))
+    runs = written(hits.mapInArrow(_runs, "id long, mark long, place int, n int, f_id long, f_mark long, f_place int"), "runs")
+    wanted = runs.groupBy(F.col("f_id").alias("id"), F.col("f_mark").alias("mark")).agg(F.collect_set(F.struct("f_place", "n")).alias("runs"))
+    once = lambda lists: own.join(lists, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    pieces = written(once(wanted).mapInArrow(_run_bytes, "f_id long, f_mark long, f_place int, n int, first_bytes binary"), "pieces")
+    told = runs.join(pieces, ["f_id", "f_mark", "f_place", "n"])
+    told = told.groupBy("id", "mark").agg(F.collect_list(F.struct("place", "n", "first_bytes")).alias("runs"))
+    cleaned = once(told).mapInArrow(_drop_runs, "id long, mark long, n_removed long, kept_sha256 string, kept_text string")
+    out = posted.drop("windows").join(cleaned if keep_text else cleaned.drop("kept_text"), ["id", "mark"], "left")
+    extra = ["kept_text"] if keep_text else []
+    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), *extra)

@@ -44,9 +44,9 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from helixframe.llm.line_dedup import line_dedup
+    from helixframe.llm.line_dedup import passage_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

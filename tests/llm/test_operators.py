@@ -17,7 +17,7 @@ from helixframe.llm import warc
 from helixframe.llm.common import Words, grams
 from helixframe.llm.components import components
 from helixframe.llm.decontaminate import BlockIndex, contaminated, decontaminated
-from helixframe.llm.line_dedup import line_chunks, line_dedup
+from helixframe.llm.line_dedup import line_chunks, line_dedup, passage_dedup
 from helixframe.llm.mixing import mix_sources, sainte_lague, water_fill
 from helixframe.llm.near_dedup import common_counts, near_components
 from helixframe.llm.quality import classify, expectation_maximisation
@@ -293,6 +293,45 @@ def test_line_dedup(frame):
     assert line_dedup(frame(NO_ROWS)).count() == 0
 
 
+def _plain_passages(rows) -> dict:
+    """Kept lines of each id, by all windows of two lines that aren't blank; ids stand for one text each."""
+    texts = {(i is None, i or 0): (t or "").split("\n") for i, t, _ in rows}
+    first, gone = {}, {key: set() for key in texts}
+    for key in sorted(texts):
+        lines = texts[key]
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        for a, z in zip(full, full[1:], strict=False):
+            if first.setdefault("\n".join(lines[a : z + 1]), (key, a)) != (key, a):
+                gone[key].update(range(a, z + 1))
+    return {(None if key[0] else key[1]): "\n".join(x for k, x in enumerate(texts[key]) if k not in gone[key]) for key in texts}
+
+
+def _check_passages(frame, rows) -> dict:
+    got = passage_dedup(frame(rows), keep_text=True).collect()
+    want = _plain_passages(rows)
+    whole = {i: t or "" for i, t, _ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.kept_sha256 == sha256(want[r.doc_id].encode()).hexdigest() and r.n_lines == whole[r.doc_id].count("\n") + 1
+        assert (r.kept_text is None) == (r.n_removed == 0) and (r.kept_text or whole[r.doc_id]) == want[r.doc_id] or r.kept_text == ""
+    return {r.doc_id: r.n_removed for r in got}
+
+
+def test_repeated_passages_go_whole(frame):
+    rng = random.Random(12)
+    line = lambda: prose(rng, 5, 5000)
+    passages = [[line() for _ in range(n)] for n in (2, 2, 3, 4, 9)]
+    passages[3].insert(2, "")
+    rows = []
+    for k in range(40):
+        rows.append((k, "\n".join([line() for _ in range(rng.randrange(1, 5))] + passages[k % 5] + [line() for _ in range(rng.randrange(1, 5))]), "s"))
+    rows += [(50, rows[0][1], "s"), (51, rows[7][1], "s"), (51, rows[7][1], "s"), (52, None, "s"), (53, "", "s"), (54, "\n\n\n", "s"), (55, "\n\n\n", "s"), (None, rows[3][1], "s")]
+    removed = _check_passages(frame, rows)
+    assert all(removed[k] == (len(passages[k % 5]) if k >= 5 else 0) for k in range(40))
+    assert removed[50] == rows[0][1].count("\n") + 1 and removed[54] == removed[55] == 0
+    assert passage_dedup(frame(NO_ROWS)).count() == 0
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line {k}".encode() for k in range(200)]
     one, two = ({text[a : a + n] for a, n, _, _ in line_chunks(text)} for text in (b"\n".join(lines), b"\n".join([b"new"] + lines)))
