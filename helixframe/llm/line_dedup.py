@@ -8,7 +8,8 @@ those that follow each other both here and at their first place make one run, wh
 ``line_dedup`` compares chunks only, so it moves less but misses passages whose edges aren't chunk boundaries.
 
 Every line (what stands between ``\\n``) is hashed; a hash rolling over the last ``ROLL`` line hashes ends a chunk where it is 0
-modulo ``EVERY``, once the chunk has ``LEAST`` lines.  Boundaries depend on nearby lines only, so inserted or removed lines
+modulo ``EVERY``, once the chunk has ``LEAST`` lines.  A run of ``RUN`` or more equal lines is cut off from the lines around it, and
+into chunks of two lines (the last one may have three), since the rolling value is constant in it.  Boundaries depend on nearby lines only, so inserted or removed lines
 shift no chunk beyond the next boundary.  Chunks with at least two lines that aren't blank are compared across
 the corpus by 128-bit hash; of equal ones the first (smallest id, then place) stays, and the others go once their bytes have
 been compared with the first one's.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +33,29 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import NULL_ID, chunks, ids_of, written
 
-ROLL, EVERY, LEAST, MOST = 2, 4, 2, 256
+ROLL, EVERY, LEAST, MOST, RUN = 2, 4, 2, 256, 4
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
+def _equal_runs(lines: list[bytes]) -> dict[int, bool]:
+    """Whether a chunk ends after the line, for each line of a run of RUN or more equal lines that aren't blank, and the one before it."""
+    out, at = {}, 0
+    for line, same in groupby(lines):
+        n = len(list(same))
+        if n >= RUN and line.strip():
+            if at:
+                out[at - 1] = True
+            out.update((at + k, (k % 2 == 1 and k != n - 2) or k == n - 1) for k in range(n))
+        at += n
+    return out
+
+
 def line_chunks(text: bytes) -> list[tuple[int, int, int, int]]:
     """(first byte, bytes, lines, lines that aren't blank) of each chunk; a chunk's last line break belongs to it."""
     out, begin, at, lines, full = [], 0, 0, 0, 0
     rolled: list[int] = []
     all_ = text.split(b"\n")
+    runs = _equal_runs(all_)
     for k, line in enumerate(all_):
         at += len(line) + (k + 1 < len(all_))
         lines += 1
@@ -48,7 +64,8 @@ def line_chunks(text: bytes) -> list[tuple[int, int, int, int]]:
         value = 0
         for x in rolled:
             value = (value * _BASE + x) & _MASK
-        if (lines >= LEAST and (value >> 20) % EVERY == 0) or lines >= MOST or k + 1 == len(all_):
+        ends = runs[k] if k in runs else (lines >= LEAST and (value >> 20) % EVERY == 0) or lines >= MOST
+        if ends or k + 1 == len(all_):
             out.append((begin, at - begin, lines, full))
             begin, lines, full = at, 0, 0
     return out

@@ -332,6 +332,17 @@ def test_repeated_passages_go_whole(frame):
     assert passage_dedup(frame(NO_ROWS)).count() == 0
 
 
+def test_runs_of_equal_lines(frame):
+    rng = random.Random(14)
+    around = lambda: [prose(rng, 5, 5000) for _ in range(3)]
+    rows = [(k, "\n".join([*around(), *[f"same {k // 8}"] * (12 + k % 2), *around()]), "s") for k in range(24)]
+    got = _check_passages(frame, rows)
+    # the first document of a run keeps one line, the others none
+    assert all(n == 12 + k % 2 - (k % 8 == 0) for k, n in got.items())
+    chunked = {r.doc_id: r.n_removed for r in line_dedup(frame(rows)).collect()}
+    assert all(n >= 9 for n in chunked.values())
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line {k}".encode() for k in range(200)]
     one, two = ({text[a : a + n] for a, n, _, _ in line_chunks(text)} for text in (b"\n".join(lines), b"\n".join([b"new"] + lines)))
