@@ -11,7 +11,7 @@ Each node's signature has ``COORDS`` min-hash coordinates; every coordinate-valu
 * Merge: nodes meet in the lists of equal keys.  First each list is compared with two hubs, its smallest and its largest node:
   collisions are counted on the signatures, and pairs of at least MATCHES are confirmed on the full sets.  Lists that then lie in one component are done.
   In the others all pairs are compared inside a task, list by list (long lists in pairs of blocks), by counting common shingles of
-  32-bit sets with a matrix product; what leaves the task is a spanning forest of the links, confirmed on the full sets in turn.
+  the full sets with a matrix product; what leaves the task is a spanning forest of the links, confirmed on the full sets in turn.
   So no link that could join two components is lost, and a group of near copies is never expanded to rows of pairs.
 
 Components come from distributed contraction.  Edge cases: null, empty and wordless texts have no shingles and are linked with nothing;
@@ -114,18 +114,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 def list_rows(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """The nodes of each list with their 32-bit sets, dealt and sorted by list and pair of blocks.
+    """The nodes of each list with their sets, dealt and sorted by list and pair of blocks.
 
     A list has as many blocks as keep a pair of them within BLOCK_NODES nodes and BLOCK_SHINGLES shingles each.
     """
-    small = sets.select("id", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
-    own = lists.select("key", "id").join(small, "id")
+    own = lists.select("key", "id").join(sets.select("id", "shingles"), "id")
     size = lists.select("key", "id").join(sets.select("id", F.size("shingles").alias("n")), "id")
     size = size.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = own.join(size, "key").withColumn("mine", mine).withColumn("other", other)
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "low")
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "shingles")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
@@ -141,17 +140,17 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     value, owner = place[value[keep]], owner[keep]
     order = np.argsort(value, kind="stable")
     value, owner = value[order], owner[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(sets), len(sets)), np.int64)
     for lo in range(0, int(value[-1]) + 1 if len(value) else 0, 4096):
         a, b = np.searchsorted(value, [lo, lo + 4096])
         grid = np.zeros((len(sets), 4096), np.float32)
         grid[owner[a:b], value[a:b] - lo] = 1
-        out += grid @ grid.T
+        out += (grid @ grid.T).astype(np.int64)  # at most 4096, exact in float32
     return out
 
 
 def _forest(percent: int):
-    """Spanning edges of the links inside each list (pair of blocks), on 32-bit sets."""
+    """Spanning edges of the links inside each list (pair of blocks)."""
 
     def edges(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         n = np.array([len(x) for x in sets])
@@ -179,8 +178,8 @@ def _forest(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
-            low = b.column("low")
-            flat, at = np.asarray(low.flatten()), np.concatenate([[0], np.cumsum(np.asarray(low.value_lengths()))])
+            own = b.column("shingles")
+            flat, at = np.asarray(own.flatten()), np.concatenate([[0], np.cumsum(np.asarray(own.value_lengths()))])
             for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "id")), strict=True)):
                 if row[:3] != group:
                     if len(held) > 1:

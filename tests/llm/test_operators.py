@@ -19,7 +19,7 @@ from helixframe.llm.components import components
 from helixframe.llm.decontaminate import BlockIndex, contaminated, decontaminated
 from helixframe.llm.line_dedup import line_chunks, line_dedup, passage_dedup
 from helixframe.llm.mixing import mix_sources, sainte_lague, water_fill
-from helixframe.llm.near_dedup import common_counts, near_components
+from helixframe.llm.near_dedup import _forest, common_counts, list_rows, near_components
 from helixframe.llm.quality import classify, expectation_maximisation
 from helixframe.llm.sharding import hilbert_index, hilbert_shards
 from helixframe.llm.substring_dedup import anchors, substring_dedup
@@ -252,6 +252,16 @@ def test_common_counts():
                 assert both[a, b] == len(np.intersect1d(sets[a], sets[b]))
 
 
+def test_mixed_lists_compare_whole_shingles(spark):
+    n = 200_000  # more than float32 counts to the hundredth; upper halves all equal
+    sets = {1: range(0, 20), 2: range(50, 70), 3: range(100, 117), 4: range(100, 120), 5: range(100, 116)}
+    lists = spark.createDataFrame([(7, i) for i in sets], "key long, id long")
+    rows = list_rows(lists, spark.createDataFrame([(i, list(x)) for i, x in sets.items()], "id long, shingles array<long>"))
+    assert {tuple(r) for r in rows.mapInArrow(_forest(85), "a long, b long").collect()} == {(3, 4), (3, 5)}
+    both = common_counts([np.arange(n + 1), np.arange(n + 1), np.arange(n)])
+    assert (100 * both[0, 2], 100 * both[0, 1]) == (100 * n, 100 * n + 100)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)] + [(7, 7)]
