@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 64
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,30 +74,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
-_BYTE_LOWER = _BYTE[_LOWER]
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n, kept between calls while n stays within CHUNK_BYTES."""
-    have = _POW.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1) if have is None else n
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        have = (out[0], out[1])
-        if size <= 8 * CHUNK_BYTES:
-            _POW[base] = have
-    return have
-
-
-_BASE_BYTES, _BASE_WORDS = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-
-
 class Words:
     """The words of a run of texts: byte positions, 64-bit hashes, and where each text's words begin."""
 
@@ -122,15 +101,24 @@ class Words:
         self.at = np.searchsorted(self.start, self.off)
         self.at[-1] = len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (after A-Z is lower-cased, if asked for)."""
-        size = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        powers, inverse = _powers(_BASE_BYTES, size + 1)
-        total = np.zeros(size + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if self.lower else _BYTE)[self.data] * powers[:size], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes (after A-Z is lower-cased, if asked for); the lanes are independent of each other.
+
+        The state is scrambled after each eight bytes, so it isn't linear in them and no pattern of letters cancels out.
+        """
+        data = np.concatenate([_LOWER[self.data] if self.lower else self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+        size = self.end - self.start
+        h = mix((size.astype(np.uint64) + np.uint64(lane << 32)) * _MULT)
+        live = np.flatnonzero(size <= _LONG_WORD)
+        at, left = self.start[live], size[live]
+        while len(live):
+            h[live] = mix((h[live] ^ (eight[at] & _TAIL[np.minimum(left, 8)])) * _MULT)
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        for k in np.flatnonzero(size > _LONG_WORD).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(data[self.start[k] : self.end[k]], lane)
+        return h
 
     def counts(self) -> np.ndarray:
         return np.diff(self.at)
@@ -140,14 +128,21 @@ class Words:
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of h[i : i + k] for each i; the last k - 1 are left out."""
-    n = len(h) - k + 1
-    if n <= 0:
+    """A hash of h[i : i + k] for each i; the last k - 1 are left out.  Spans of doubling length are joined, each join scrambled."""
+    if len(h) < k:
         return np.zeros(0, np.uint64)
-    powers, inverse = _powers(_BASE_WORDS, len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * inverse[:n] + np.uint64(k))
+    out, width, span = None, 0, 1
+    while True:
+        if k & span:
+            out, width = (h if out is None else _joined(out, h[width:])), width + span
+        if 2 * span > k:
+            return mix(out + np.uint64(k))
+        h, span = _joined(h, h[span:]), 2 * span
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = min(len(a), len(b))
+    return mix(a[:n] * _MULT + b[:n])
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:

@@ -1,31 +1,36 @@
 """Exact deduplication over a cuckoo-filter index of live digests.
 
-The index is a table of buckets; a bucket holds a cuckoo filter (16-bit fingerprints, four slots) over its live
-digests and, beside it, the stored content: every full SHA-256 with its number of live rows and the id that stays.
-A filter miss proves a digest new; a hit is verified against the stored digest and length, so false positives never merge
-texts.  An insertion that finds no place doubles the filter and refills it from the stored keys.  Deleting the last
-live row of a digest takes its fingerprint out again.
-
-Rows are combined inside each task before the exchange, so a text that a third of all rows share reaches its bucket
-once for each task.  Edge cases: null text is the empty text; of equal texts the largest id stays, null ids sort
-lowest; rows that repeat an id and text are kept together; an empty table gives an empty result.
+A bucket of the index holds the digests that begin alike: a cuckoo filter (16-bit fingerprints, four slots) and, beside it, the stored
+content.  A filter miss proves a digest new, so it is compared with nothing.  A hit is verified against the stored
+SHA-256 digests, so false positives never merge texts.  An insertion that finds no place doubles the filter and refills it from the stored
+keys.  Deleting the last live row of a digest takes its fingerprint out again.
+
+``exact_dedup`` hashes each text once, writes the digests, and combines them inside each task before the one exchange to the buckets, so a text that
+a third of all rows share reaches its bucket once for each task and batch.  A bucket answers for repeated digests only; what it doesn't name is unique.
+
+``StoredIndex`` is the same index kept as tables: one row for each live digest and id, and one filter for each bucket.  Insertions, deletions and lookups
+read the filters, and of the content only the digests that hit.  The id that stays is the largest live one, found anew after each change.
+
+Edge cases: null text is the empty text; of equal texts the largest id stays, null ids sort
+lowest; rows that repeat an id and text are kept together; deleting what isn't there changes nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import mix, parts_for
+from helixframe.llm.common import mix, parts_for, written
 
 SLOTS = 4
 MAX_KICKS = 64
-#: Distinct digests that a task combines before it hands them on, and digests of a bucket.
-COMBINE, ROWS_EACH = 100_000, 100_000
+#: Distinct digests of a bucket.
+ROWS_EACH = 100_000
 _LOWEST = -(1 << 63)
 
 
@@ -36,6 +41,13 @@ class CuckooFilter:
         buckets = 1 << max(3, int(capacity / (SLOTS * 0.85)).bit_length())
         self.table = np.zeros((buckets, SLOTS), np.uint16)
 
+    @classmethod
+    def of(cls, data: bytes | None) -> CuckooFilter:
+        out = cls()
+        if data:
+            out.table = np.frombuffer(data, np.uint16).reshape(-1, SLOTS).copy()
+        return out
+
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mask = np.uint64(len(self.table) - 1)
         print_ = ((keys >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
@@ -72,6 +84,15 @@ class CuckooFilter:
             at = at[left]
         return True
 
+    def refill(self, stored: np.ndarray) -> None:
+        """Grow until all stored keys have a place."""
+        size = max(self.table.size, len(stored))
+        while True:
+            size *= 2
+            self.table = CuckooFilter(size).table
+            if self.insert(stored):
+                return
+
     def _settle(self, f, a, b, at):
         """Put what fits into free slots of `at`; returns what is left and a mask of it."""
         left = np.ones(len(f), bool)
@@ -94,136 +115,200 @@ class CuckooFilter:
                     break
 
 
-class DigestIndex:
-    """One bucket: the filter and the stored digests with [rows, id that stays]."""
+def _digests_of(column: pa.Array) -> np.ndarray:
+    """Digests as rows of four big-endian 64-bit numbers."""
+    data = column.cast(pa.binary(32))
+    return np.frombuffer(data.buffers()[1], ">u8", 4 * len(data), 32 * data.offset).astype(np.uint64).reshape(-1, 4)
 
-    def __init__(self):
-        self.filter, self.stored = CuckooFilter(), {}
 
-    @staticmethod
-    def keys(digests: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(d[:8] for d in digests), np.uint64)
+def _bytes_of(digests: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(digests.astype(">u8")).tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(digests), [None, pa.py_buffer(data)]).cast(pa.binary())
 
-    def _grow(self) -> None:
-        while True:
-            self.filter = CuckooFilter(2 * self.filter.table.size)
-            if not self.stored or self.filter.insert(self.keys(list(self.stored))):
-                return
 
-    def add(self, digests: list[bytes], ids: list[int], rows: list[int]) -> None:
-        """Insert live rows; of equal digests the largest id stays."""
-        if not digests:
-            return
-        hits = self.filter.contains(self.keys(digests)).tolist()
-        new: list[bytes] = []
-        fresh: dict[bytes, list[int]] = {}
-        for d, i, n, hit in zip(digests, ids, rows, hits, strict=True):
-            have = self.stored.get(d) if hit else fresh.get(d)  # a miss proves that it isn't stored
-            if have is None and hit:
-                have = fresh.get(d)
-            if have is None:
-                fresh[d] = [n, i]
-                new.append(d)
-            else:
-                have[0] += n
-                have[1] = max(have[1], i)
-        self.stored.update(fresh)
-        if new and (len(self.stored) > 0.85 * self.filter.table.size or not self.filter.insert(self.keys(new))):
-            self._grow()
-
-    def remove(self, digests: list[bytes], rows: list[int]) -> None:
-        """Delete live rows; a digest without rows leaves the filter and the store."""
-        gone = []
-        for d, n in zip(digests, rows, strict=True):
-            if have := self.find(d):
-                have[0] -= n
-                if have[0] <= 0:
-                    del self.stored[d]
-                    gone.append(d)
-        if gone:
-            self.filter.delete(self.keys(gone))
-
-    def find(self, digest: bytes) -> list[int] | None:
-        return self.stored.get(digest) if self.filter.contains(self.keys([digest]))[0] else None
-
-
-def digests(df: DataFrame) -> DataFrame:
-    return df.select(F.struct(*df.columns).alias("row"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"))
+def _grouped(digests: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal digests as one: (digests, largest id, rows).  All 256 bits are compared."""
+    order = np.lexsort(digests.T[::-1])
+    d = digests[order]
+    first = np.ones(len(d), bool)
+    first[1:] = (d[1:] != d[:-1]).any(1)
+    at = np.flatnonzero(first)
+    if not len(at):
+        return digests, ids, rows
+    return d[at], np.maximum.reduceat(ids[order], at), np.add.reduceat(rows[order], at)
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one task by digest: number and largest id."""
-    held: dict[bytes, list[int]] = {}
+class DigestBucket:
+    """One bucket while it is built: the filter, the stored digests, and which keys were hit."""
+
+    def __init__(self):
+        self.filter = CuckooFilter()
+        self.digests, self.ids, self.rows = np.zeros((0, 4), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.keys: list[np.ndarray] = []
+        self.hit: list[np.ndarray] = []
+
+    def add(self, digests: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        part = _grouped(digests, ids, rows)
+        keys, n = np.unique(part[0][:, 0], return_counts=True)
+        again = self.filter.contains(keys)
+        self.hit += [keys[again | (n > 1)], part[0][part[2] > 1, 0]]
+        self.parts.append(part)
+        self.keys.append(keys[~again])
+        if not self.filter.insert(keys[~again]):
+            self.filter.refill(np.concatenate(self.keys))
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Digests of more than one row: those that hit, verified against the stored ones."""
+        hit = np.unique(np.concatenate([*self.hit, np.zeros(0, np.uint64)]))
+        some = [[x[np.isin(d[:, 0], hit)] for x in (d, i, n)] for d, i, n in self.parts]
+        if not some:
+            return self.digests, self.ids, self.rows
+        d, i, n = _grouped(*(np.concatenate(x) for x in zip(*some, strict=True)))
+        return d[n > 1], i[n > 1], n[n > 1]
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest")
 
-    def out() -> pa.RecordBatch:
-        d = list(held)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array([held[x][1] for x in d], pa.int64()), pa.array([held[x][0] for x in d], pa.int64())], ["digest", "id", "rows"])
 
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one batch by digest: largest id and number."""
     for b in batches:
-        for d, i in zip(b.column("digest").to_pylist(), b.column("id").fill_null(_LOWEST).to_pylist(), strict=True):
-            have = held.setdefault(d, [0, i])
-            have[0] += 1
-            have[1] = max(have[1], i)
-        if len(held) >= COMBINE:
-            yield out()
-            held.clear()
-    if held:
-        yield out()
-
-
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = DigestIndex()
+        ids = b.column("id").fill_null(_LOWEST).to_numpy(zero_copy_only=False)
+        d, i, n = _grouped(_digests_of(b.column("digest")), ids, np.ones(len(ids), np.int64))
+        yield _batch(d, i, n)
+
+
+def _batch(d: np.ndarray, i: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_bytes_of(d), pa.array(i, pa.int64()), pa.array(n, pa.int64())], ["digest", "id", "rows"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bucket = DigestBucket()
     for b in batches:
-        index.add(b.column("digest").to_pylist(), b.column("id").to_pylist(), b.column("rows").to_pylist())
-    d = list(index.stored)
-    for k in range(0, len(d), 10_000):
-        part = d[k : k + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([index.stored[x][1] for x in part], pa.int64()), pa.array([index.stored[x][0] for x in part], pa.int64())], ["digest", "keep", "rows"])
+        bucket.add(_digests_of(b.column("digest")), b.column("id").to_numpy(), b.column("rows").to_numpy())
+    yield _batch(*bucket.repeated())
 
 
-def live_digests(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """(digest, keep, rows) of all distinct texts, through the bucketed index."""
-    own = digests(df).select("digest", F.col("row.doc_id").cast("long").alias("id"))
-    combined = own.mapInArrow(_combine, "digest binary, id long, rows long")
-    return combined.repartition(parts_for(df, ROWS_EACH, rows), "digest").mapInArrow(_index, "digest binary, keep long, rows long")
+_COMBINED = "digest binary, id long, rows long"
 
 
-def exact_dedup(df: DataFrame) -> DataFrame:
-    """``df`` (doc_id, text, ...) as a struct ``row`` with keep_id, group_size, kept and text_sha256, all rows included."""
-    keep = F.when(F.col("keep") != _LOWEST, F.col("keep"))
+def repeated_digests(hashed: DataFrame) -> DataFrame:
+    """(digest, keep, rows) of the digests that several rows of (digest, id) have."""
+    combined = hashed.select("digest", "id").mapInArrow(_combine, _COMBINED)
+    return combined.repartition(parts_for(hashed, ROWS_EACH), "digest").mapInArrow(_repeated, _COMBINED).withColumnRenamed("id", "keep")
+
+
+def exact_dedup(df: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``df`` (doc_id, text, ...) as a struct ``row`` with keep_id, group_size, kept and text_sha256, all rows included.
+
+    carry: the columns of ``row`` (None: all); what isn't carried isn't written.
+    """
+    row = F.struct(*(df.columns if carry is None else carry)).alias("row")
+    hashed = written(df.select(row, F.col("doc_id").cast("long").alias("id"), _digest()), "digests")
+    again = written(repeated_digests(hashed), "repeated")
+    keep = F.when(F.col("rows").isNull(), F.col("id")).otherwise(F.when(F.col("keep") != _LOWEST, F.col("keep")))
     return (
-        digests(df)
-        .join(live_digests(df), "digest")
-        .select("row", keep.alias("keep_id"), F.col("rows").alias("group_size"), F.col("row.doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        hashed.join(again, "digest", "left")
+        .withColumn("keep_id", keep)
+        .select("row", "keep_id", F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     )
 
 
-def update_index(stored: DataFrame, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
-    """A stored index (digest, keep, rows) after live rows are inserted or deleted.
+# ---------------------------------------------------------------- the kept index
 
-    ``inserts`` and ``deletes`` have doc_id and text.  Each bucket refills its filter from the stored keys, then runs the
-    changes through it.  keep stays as it was where a larger id is deleted: look it up in the content table.
-    """
-    none = stored.select("digest", F.col("keep").alias("id"), "rows", F.lit(0).alias("kind"))
-    moves = none
-    for kind, df in ((1, inserts), (2, deletes)):
-        if df is not None:
-            own = digests(df).select("digest", F.col("row.doc_id").cast("long").alias("id"))
-            moves = moves.unionByName(own.mapInArrow(_combine, "digest binary, id long, rows long").withColumn("kind", F.lit(kind)))
-    parts = parts_for(stored, ROWS_EACH)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = DigestIndex()
-        for b in batches:
-            kind = np.asarray(b.column("kind"))
-            for k in (0, 1, 2):
-                part = b.filter(pa.array(kind == k))
-                args = part.column("digest").to_pylist(), part.column("rows").to_pylist()
-                if k == 2:
-                    index.remove(*args)
-                else:
-                    index.add(args[0], part.column("id").to_pylist(), args[1])
-        d = list(index.stored)
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array([index.stored[x][1] for x in d], pa.int64()), pa.array([index.stored[x][0] for x in d], pa.int64())], ["digest", "keep", "rows"])
-
-    return moves.repartition(parts, "digest").sortWithinPartitions("kind").mapInArrow(run, "digest binary, keep long, rows long")
+
+@dataclass
+class StoredIndex:
+    """content: (bucket, digest, id, rows) of the live rows; filters: (bucket, slots) of the live digests."""
+
+    content: DataFrame
+    filters: DataFrame
+    buckets: int
+
+    def keeps(self) -> DataFrame:
+        """(digest, keep, rows) of every live digest."""
+        keep = F.max("id")
+        return self.content.groupBy("digest").agg(F.when(keep != _LOWEST, keep).alias("keep"), F.sum("rows").alias("rows"))
+
+
+def _rows(df: DataFrame, buckets: int, sign: int = 1) -> DataFrame:
+    own = df.select(_digest(), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"))
+    bucket = F.pmod(F.conv(F.hex(F.substring("digest", 9, 4)), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+    return own.select(bucket.alias("bucket"), "digest", "id").groupBy("bucket", "digest", "id").agg((F.count(F.lit(1)) * sign).alias("rows"))
+
+
+def _keys(table: pa.Table, name: str) -> np.ndarray:
+    column = table.column(name).drop_null().combine_chunks()
+    return _digests_of(column)[:, 0] if len(column) else np.zeros(0, np.uint64)
+
+
+def _first(table: pa.Table, name: str) -> bytes | None:
+    return table.column(name)[0].as_py() if table.num_rows else None
+
+
+def _slots(bucket: int, filter_: CuckooFilter | None) -> pa.Table:
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "slots": pa.array([filter_ and filter_.table.tobytes()], pa.binary())})
+
+
+def _filled(table: pa.Table) -> pa.Table:
+    keys = _keys(table, "digest")
+    filter_ = CuckooFilter(len(keys))
+    if not filter_.insert(keys):
+        filter_.refill(keys)
+    return _slots(table.column("bucket")[0].as_py(), filter_)
+
+
+def _filters(content: DataFrame) -> DataFrame:
+    each = content.select("bucket", "digest").distinct()
+    return written(each.groupBy("bucket").applyInArrow(_filled, "bucket int, slots binary"), "filters")
+
+
+def _changed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A bucket's filter after digests come and go; without slots if it overflows."""
+    filter_ = CuckooFilter.of(_first(left, "slots"))
+    bucket = (left if left.num_rows else right).column("bucket")[0].as_py()
+    filter_.delete(_keys(right, "gone"))
+    return _slots(bucket, filter_ if filter_.insert(_keys(right, "new")) else None)
+
+
+def _hits(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The digests that a bucket's filter may hold."""
+    if not left.num_rows or not right.num_rows:
+        return right.slice(0, 0)
+    return right.filter(pa.array(CuckooFilter.of(_first(left, "slots")).contains(_keys(right, "digest"))))
+
+
+def build_index(df: DataFrame) -> StoredIndex:
+    """The index of the rows of ``df`` (doc_id, text)."""
+    buckets = parts_for(df, ROWS_EACH)
+    content = written(_rows(df, buckets), "content")
+    return StoredIndex(content, _filters(content), buckets)
+
+
+def stored_digests(index: StoredIndex, digests: DataFrame) -> DataFrame:
+    """Those of the distinct (bucket, digest) that the index holds: the filters' hits, verified against the content."""
+    hits = index.filters.groupBy("bucket").cogroup(digests.groupBy("bucket")).applyInArrow(_hits, "bucket int, digest binary")
+    return hits.join(index.content.select("bucket", "digest"), ["bucket", "digest"], "left_semi")
+
+
+def update_index(index: StoredIndex, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> StoredIndex:
+    """The index after rows (doc_id, text) come and go."""
+    moves = [_rows(df, index.buckets, sign) for df, sign in ((inserts, 1), (deletes, -1)) if df is not None]
+    content = index.content
+    for m in moves:
+        content = content.unionByName(m)
+    live = content.groupBy("bucket", "digest", "id").agg(F.sum("rows").alias("rows")).where("rows > 0")
+    live = written(live, "content")
+    if not moves:
+        return index
+    touched = moves[0].unionByName(moves[-1]).select("bucket", "digest").distinct()
+    before = stored_digests(index, touched).withColumn("was", F.lit(True))
+    after = touched.join(live.select("bucket", "digest"), ["bucket", "digest"], "left_semi").withColumn("is", F.lit(True))
+    told = touched.join(before, ["bucket", "digest"], "left").join(after, ["bucket", "digest"], "left")
+    told = told.select("bucket", F.when(F.col("is") & F.col("was").isNull(), F.col("digest")).alias("new"), F.when(F.col("was") & F.col("is").isNull(), F.col("digest")).alias("gone"))
+    filters = written(index.filters.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_changed, "bucket int, slots binary"), "filters")
+    full = filters.where("slots IS NULL").select("bucket")
+    again = _filters(live.join(full, "bucket", "left_semi"))
+    return StoredIndex(live, filters.where("slots IS NOT NULL").unionByName(again), index.buckets)

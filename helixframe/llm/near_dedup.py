@@ -1,6 +1,7 @@
 """MinHash near-deduplication by a signature-coordinate inverted join.
 
-A text's set is its distinct 5-word shingles (A-Z lower-cased).  Rows with equal sets are one node, named by their smallest id.
+A text's set is its distinct 5-word shingles (A-Z lower-cased), as 64-bit hashes.  Rows with equal sets are one node, named by their
+smallest id; sets are equal if two prints of 64 bits from independent word hashes are.
 Each node's signature has ``COORDS`` min-hash coordinates; every coordinate-value pair is a posting key.
 
 * Two sets at the similarity threshold agree in at least ``MATCHES`` coordinates but for chance: at Jaccard 0.85
@@ -44,7 +45,10 @@ _B = _RNG.integers(0, 1 << 63, COORDS, dtype=np.uint64)
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(values, at): sorted distinct shingle hashes of text i are values[at[i] : at[i + 1]]."""
     w = Words(texts, lower=True)
-    h, at = w.hashes(), w.at
+    return _sets_of(w.hashes(), w.at, k)
+
+
+def _sets_of(h: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     g = grams(h, k)
     sets = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -53,6 +57,14 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(sets) if sets else h[:0]), ends
 
 
+def _prints(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit print of each set."""
+    out, full = np.zeros(len(at) - 1, np.uint64), np.flatnonzero(np.diff(at))
+    if len(full):
+        out[full] = mix(np.add.reduceat(mix(values), at[:-1][full]) + np.diff(at)[full].astype(np.uint64))
+    return out
+
+
 def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posting keys (one for each coordinate) of each set that isn't empty, and which sets those are."""
     full = np.flatnonzero(np.diff(at))
@@ -71,13 +83,11 @@ _SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for c in chunks(b):
-            v, at = shingle_sets(c.column("text"))
+            w = Words(c.column("text"), lower=True)
+            v, at = _sets_of(w.hashes(), w.at)
             n = np.diff(at)
-            keys, full = signatures(v, at)
-            f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            if len(full):
-                f1[full] = mix(np.add.reduceat(mix(v), at[:-1][full]) + n[full].astype(np.uint64))
-                f2[full] = np.bitwise_xor.reduceat(mix(v * _A[0]), at[:-1][full])
+            keys, _ = signatures(v, at)
+            f1, f2 = _prints(v, at), _prints(*_sets_of(w.hashes(1), w.at))
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, COORDS, 0))])
             longs = [pa.array(x.view(np.int64)) for x in (f1, f2)]
             yield pa.RecordBatch.from_arrays([pa.array(ids_of(c.column("doc_id"))), pa.array(n.astype(np.int64)), *longs, ragged(keys.reshape(-1).view(np.int64), ends, pa.int64())], ["doc_id", "n_shingles", "f1", "f2", "keys"])
@@ -103,14 +113,18 @@ def posting_lists(nodes: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose signatures collide often enough and whose full sets reach the similarity."""
+    """The pairs (a, b) whose signatures collide often enough and whose full sets reach the similarity.
+
+    Nodes differ in their sets, so two that have all shingle hashes in common do so by a hash collision and aren't linked.
+    """
     side = lambda s: sets.select(F.col("id").alias(s), F.col("keys").alias(f"{s}_keys"), F.col("shingles").alias(f"{s}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     na, nb = F.size("a_set"), F.size("b_set")
     both = both.where(F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
     collisions = F.aggregate(F.zip_with("a_keys", "b_keys", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     inter = F.size(F.array_intersect("a_set", "b_set")).cast("long")
-    return both.where(collisions >= MATCHES).where(inter * 100 >= (na + nb - inter) * percent).select("a", "b")
+    both = both.where(collisions >= MATCHES).withColumn("inter", inter).where(F.col("inter") < F.greatest(na, nb))
+    return both.where(F.col("inter") * 100 >= (na + nb - F.col("inter")) * percent).select("a", "b")
 
 
 def list_rows(lists: DataFrame, sets: DataFrame) -> DataFrame:

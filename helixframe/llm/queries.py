@@ -53,7 +53,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.exact_dedup import exact_dedup
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, carry=["doc_id"]).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

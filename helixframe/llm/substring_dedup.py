@@ -9,7 +9,7 @@ stands; the longest of them (leftmost of equal ones) is the window's *anchor*.
 windows inside one long run stand for themselves.
 
 1. All documents post their anchors' occurrences; only anchors that occur at least twice can hold equal windows.
-2. Documents with such anchors get 96-bit hashes of those windows.  Each chunk of documents settles its own
+2. Documents with such anchors get 128-bit hashes of those windows, from two independent hashes of each word.  Each chunk of documents settles its own
    repeats, and sends one entry for each distinct window to the window's bucket, where the first place in the corpus stays.
 3. Each document takes out the words that windows with an earlier copy cover.
 
@@ -188,7 +188,7 @@ def _settle(window: int, rounds: int):
                 owner = np.repeat(np.arange(len(size)), size).astype(np.uint64)
                 pick = np.isin(mix(name) ^ mix(doc.astype(np.uint64) + _C), mix(flat) ^ mix(owner + _C))
                 start, doc = start[pick], doc[pick]
-                g, check = grams(h, window)[start], (grams(mix(h), window)[start] >> np.uint64(32)).astype(np.uint32)
+                g, check = grams(h, window)[start], grams(w.hashes(1), window)[start]
                 begin = start - w.at[doc]
                 order = np.lexsort((begin, ids[doc], check, g))
                 g, check, doc, begin = g[order], check[order], doc[order], begin[order]
@@ -214,7 +214,7 @@ def _settle(window: int, rounds: int):
 
 
 _ENTRIES = "bucket long, ids binary, hashes binary, checks binary, starts binary"
-_TYPES = {"ids": np.int64, "hashes": np.uint64, "checks": np.uint32, "starts": np.int32}
+_TYPES = {"ids": np.int64, "hashes": np.uint64, "checks": np.uint64, "starts": np.int32}
 
 
 def _deal(buckets: int, window: int):
@@ -229,7 +229,7 @@ def _deal(buckets: int, window: int):
                 size = [len(x) // 4 for x in starts]
                 begin = np.frombuffer(b"".join(starts), np.int32)
                 at = np.repeat(w.at[:-1], size) + begin
-                checks = (grams(mix(h), window)[at] >> np.uint64(32)).astype(np.uint32)
+                checks = grams(w.hashes(1), window)[at]
                 got = {"ids": np.repeat(np.asarray(c.column("doc_id")), size), "hashes": grams(h, window)[at], "checks": checks, "starts": begin}
                 to = (got["hashes"] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")

@@ -44,6 +44,31 @@ def test_words_and_their_hashes(docs):
     assert len(grams(w.hashes()[:3], 5)) == 0
 
 
+def _thue_morse(n: int) -> tuple[str, str]:
+    """Two words that hashes by powers of a base, modulo 2^64, can't tell apart."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [8, 64, 65, 1024, 8192])
+def test_patterns_of_letters_do_not_cancel(size):
+    w = Words(pa.array(_thue_morse(size)))
+    assert len(set(w.hashes().tolist()) | set(w.hashes(1).tolist())) == 4
+
+
+def test_long_words_are_told_apart(frame):
+    rng = random.Random(21)
+    some, pair = prose(rng, 30).split(), _thue_morse(1024)
+    rows = [(k + 1, " ".join([*some[:20], x, *some[20:]]), "s") for k, x in enumerate(pair)] + [(k + 3, x, "s") for k, x in enumerate(pair)]
+    rows += [(5, pair[0] * 3000, "s"), (6, pair[1] * 3000, "s"), (7, pair[0] * 3000, "s")]  # words longer than a chunk of the kernels
+    got = substring_dedup(frame(rows)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute.substring_dedup([(i, t) for i, t, _ in rows])
+    near = near_components(frame(rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near} == brute.near_components([(i, t) for i, t, _ in rows])
+
+
 # ------------------------------------------------------------ 1 quality
 
 
@@ -387,23 +412,44 @@ def test_cuckoo_filter():
     assert not X.CuckooFilter(8).insert(keys)
 
 
-def test_index_grows_and_shrinks():
-    index = X.DigestIndex()
-    digests = [sha256(str(k).encode()).digest() for k in range(3000)]
+def test_bucket_grows_and_verifies():
+    digests = X._digests_of(pa.array([sha256(str(k).encode()).digest() for k in range(3000)], pa.binary()))
+    ids, one = np.arange(3000), np.ones(3000, np.int64)
+    bucket = X.DigestBucket()
     for k in range(0, 3000, 100):
-        index.add(digests[k : k + 100], list(range(k, k + 100)), [1] * 100)
-    index.add(digests[:10], [10_000] * 10, [2] * 10)
-    assert index.find(digests[0]) == [3, 10_000] and all(index.find(d) for d in digests)
-    index.remove(digests, [1] * 3000)
-    assert len(index.stored) == 10 and index.find(digests[0]) == [2, 10_000] and index.find(digests[50]) is None
-
-
-def test_index_updates(spark):
+        bucket.add(digests[k : k + 100], ids[k : k + 100], one[:100])
+    known = bucket.filter.contains(digests[:, 0]) | np.isin(digests[:, 0], np.concatenate(bucket.hit))
+    assert len(bucket.repeated()[0]) == 0 and known.all() and bucket.filter.table.size >= 3000
+    twin = digests[:1].copy()
+    twin[0, 3] += 1  # all but the last 64 bits are those of another digest
+    bucket.add(np.concatenate([digests[:10], twin]), np.full(11, 10_000), np.full(11, 2))
+    d, i, n = bucket.repeated()
+    got = {tuple(x): (y, z) for x, y, z in zip(d.tolist(), i.tolist(), n.tolist(), strict=True)}
+    assert got == {tuple(x): (10_000, 3) for x in digests[:10].tolist()} | {tuple(twin[0].tolist()): (10_000, 2)}
+
+
+def test_index_updates(spark, monkeypatch):
+    monkeypatch.setattr(X, "ROWS_EACH", 40)
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    stored = X.live_digests(frame([(1, "a"), (2, "a"), (3, "b")])).withColumnRenamed("x", "x")
-    new = X.update_index(stored, frame([(9, "c"), (8, "a")]), frame([(3, "b")]))
-    want = {sha256(b"a").digest(): (8, 3), sha256(b"c").digest(): (9, 1)}
-    assert {bytes(r.digest): (r.keep, r.rows) for r in new.collect()} == want
+    digest = lambda t: sha256((t or "").encode()).digest()
+    live = Counter({(k, f"t{k % 150}"): 1 for k in range(200)}) + Counter({(None, None): 1, (7, "t7"): 1})
+    index = X.build_index(frame(list(live.elements())))
+    moves = [
+        ([(9000, "t3"), (9001, "new"), (9001, "new")], [(150, "t0"), (199, "t49"), (5, "nope"), (120, "t120")]),  # the largest ids of t0 and t49, a text whole, one that isn't there
+        ([(1, "t120")], [(9000, "t3"), (None, None)]),
+        ([(k, f"more {k}") for k in range(400)], []),  # overflows the buckets
+    ]
+    for inserts, deletes in moves:
+        index = X.update_index(index, frame(inserts), frame(deletes))
+        live += Counter(inserts)
+        live -= Counter(deletes)
+        want: dict = {}
+        for (i, t), n in live.items():
+            keep, rows = want.get(digest(t), (None, 0))
+            want[digest(t)] = (max((x for x in (keep, i) if x is not None), default=None), rows + n)
+        assert {bytes(r.digest): (r.keep, r.rows) for r in index.keeps().collect()} == want
+        asked = X._rows(frame([(0, t) for t in ("t0", "t3", "t120", "new", "nope", "more 3", None)]), index.buckets).select("bucket", "digest")
+        assert {bytes(r.digest) for r in X.stored_digests(index, asked).collect()} == {d for d in map(digest, ("t0", "t3", "t120", "new", "nope", "more 3", None)) if d in want}
 
 
 # ------------------------------------------------------------ 8 WARC
