@@ -75,9 +75,9 @@ def test_wrong_rows_fail(simple, text, message):
         simple.tables["reads"].df.collect()
 
 
-@pytest.mark.parametrize(("field", "value"), [("age", 3_000_000_000), ("date", "2021-02-30"), ("date", "2021-2-3"), ("age", "x"), ("test_boolean_column", 1)])
+@pytest.mark.parametrize(("field", "value"), [("dep", 3_000_000_000), ("seen", "2021-02-30"), ("seen", "2021-2-3"), ("dep", "x"), ("checked", 1)])
 def test_wrong_values_fail(spark, field, value):
-    db = Database.initialize(CONFIG, REFERENCES, {"small_lineages": LINEAGES}, Tree.from_newick(TREE), spark=spark)
+    db = Database.initialize(CONFIG, REFERENCES, {"waters_of_old": LINEAGES}, Tree.from_newick(TREE), spark=spark)
     row = rows()[0] | {field: value}
     with pytest.raises(Exception):
         db.append_data_from_string(DEFAULT, json.dumps(row))
@@ -99,22 +99,22 @@ def test_input_files(spark, tmp_path, simple):
 
 def test_checks(spark):
     db = build(spark)
-    check_primary_key(db.tables[DEFAULT].df, "primaryKey")
+    check_primary_key(db.tables[DEFAULT].df, "specimenId")
     with pytest.raises(Exception, match="bound to more than one row"):
         db.append_data_from_string(DEFAULT, json.dumps(rows()[0]))
-    odd = rows()[0] | {"primaryKey": "other", "pango_lineage": "nope"}
+    odd = rows()[0] | {"specimenId": "other", "clade": "nope"}
     with pytest.raises(Exception, match="not a valid lineage value"):
         db.append_data_from_string(DEFAULT, json.dumps(odd))
-    with pytest.raises(Exception, match="Found duplicate primary key key"):
-        check_primary_key(db.tables[DEFAULT].df.union(db.tables[DEFAULT].df), "primaryKey")
+    with pytest.raises(Exception, match="Found duplicate primary key cod"):
+        check_primary_key(db.tables[DEFAULT].df.union(db.tables[DEFAULT].df), "specimenId")
 
 
 def test_update_column(spark):
     db = build(spark)
-    db.update_column(DEFAULT, "age", "9", "division = 'Bern'")
-    db.update_column(DEFAULT, "unsorted_date", "null")
-    assert answer(db, "default.filter(age = 9 && unsorted_date.isNull()).groupBy({n:=count()})") == [{"n": 2}]
-    for column, value in (("primaryKey", "'x'"), ("pango_lineage", "'x'"), ("main", "'x'"), ("age", "'x'"), ("nope", "1")):
+    db.update_column(DEFAULT, "dep", "9", "harbour = 'Havn'")
+    db.update_column(DEFAULT, "received", "null")
+    assert answer(db, "default.filter(dep = 9 && received.isNull()).groupBy({n:=count()})") == [{"n": 2}]
+    for column, value in (("specimenId", "'x'"), ("clade", "'x'"), ("hull", "'x'"), ("dep", "'x'"), ("nope", "1")):
         with pytest.raises(ValueError):
             db.update_column(DEFAULT, column, value)
 
@@ -124,8 +124,8 @@ def test_save_and_load(spark, tmp_path):
     first = db.save_checkpoint(str(tmp_path))
     again = Database(str(tmp_path), spark)
     assert again.query("default").exceptAll(db.query("default")).isEmpty() and again.query("default").count() == 5
-    assert answer(again, "default.filter(primaryKey.phyloDescendantOf('inner3')).groupBy({n:=count()})") == [{"n": 3}]
-    assert again.lineage_definition("pango_lineage") == LINEAGES
+    assert answer(again, "default.filter(specimenId.phyloDescendantOf('west')).groupBy({n:=count()})") == [{"n": 3}]
+    assert again.lineage_definition("clade") == LINEAGES
     second = again.save_checkpoint(str(tmp_path))
     assert latest_state(tmp_path).path == second and second != first
     (second / "data_version.yaml").write_text(f"timestamp: {second.name}\nserializationVersion: {FORMAT + 1}\n")
@@ -140,25 +140,25 @@ def test_save_and_load(spark, tmp_path):
 def test_filters_reach_the_reader(spark, tmp_path):
     db = build(spark)
     db.save_checkpoint(str(tmp_path))
-    df = Database(str(tmp_path), spark).query("default.filter(!(age = 4) && division = 'Bern').groupBy({n:=count()}, {region})")
+    df = Database(str(tmp_path), spark).query("default.filter(!(dep = 12) && harbour = 'Havn').groupBy({n:=count()}, {waters})")
     plan = df._jdf.queryExecution().toString()
-    assert "Or(IsNull(age),Not(EqualTo(age,4)))" in plan and "EqualTo(division,Bern)" in plan
+    assert "Or(IsNull(dep),Not(EqualTo(dep,12)))" in plan and "EqualTo(harbour,Havn)" in plan
     read = re.search("ReadSchema: struct<(.*)>", plan)[1]
-    assert sorted(read.split(",")) == ["age:int", "division:string", "region:string"]
-    top = Database(str(tmp_path), spark).query("default.orderBy({age}).limit(2)")
+    assert sorted(read.split(",")) == ["dep:int", "harbour:string", "waters:string"]
+    top = Database(str(tmp_path), spark).query("default.orderBy({dep}).limit(2)")
     assert "TakeOrderedAndProject" in top._jdf.queryExecution().toString()
 
 
 def test_clustering(spark):
     db = build(spark)
-    assert db.clustered(DEFAULT, "main", 2).count() == 5
+    assert db.clustered(DEFAULT, "hull", 2).count() == 5
 
 
 def test_sinks(spark, tmp_path):
     db = build(spark)
-    lines = [json.loads(r.value) for r in ndjson.to_json_lines(db.query("default.project({primaryKey, date, unsorted_date, qc_value}).limit(1)")).collect()]
-    assert lines == [{"primaryKey": "key1", "date": "2021-03-18", "unsorted_date": None, "qc_value": 0.98}]
-    assert db.query_arrow("default.project({age})").schema.field("age").type == pa.int32()
+    lines = [json.loads(r.value) for r in ndjson.to_json_lines(db.query("default.project({specimenId, seen, received, score}).limit(1)")).collect()]
+    assert lines == [{"specimenId": "cod1", "seen": "2018-02-11", "received": None, "score": 0.5}]
+    assert db.query_arrow("default.project({dep})").schema.field("dep").type == pa.int32()
     ndjson.write(db.query("default"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 5
 
@@ -206,15 +206,15 @@ def test_http(spark):
         active.set(build(spark))
         assert fetch(port, "/health")[2] == b'{"status": "UP"}'
         assert json.loads(fetch(port, "/info")[2])["sequenceCount"] == 5
-        status, headers, body = fetch(port, "/query", "default.orderBy({age.desc()}).project({age}).limit(1)", **{"X-Request-Id": "me"})
-        assert status == 200 and body == b'{"age":54}\n' and headers["X-Request-Id"] == "me" and json.loads(headers["result-ordering"])[0]["order"] == "descending" and headers["data-version"]
-        table = pa.ipc.open_stream(io.BytesIO(fetch(port, "/query", "default.project({age})", Accept=ARROW)[2])).read_all()
+        status, headers, body = fetch(port, "/query", "default.orderBy({dep.desc()}).project({dep}).limit(1)", **{"X-Request-Id": "me"})
+        assert status == 200 and body == b'{"dep":90}\n' and headers["X-Request-Id"] == "me" and json.loads(headers["result-ordering"])[0]["order"] == "descending" and headers["data-version"]
+        table = pa.ipc.open_stream(io.BytesIO(fetch(port, "/query", "default.project({dep})", Accept=ARROW)[2])).read_all()
         assert table.num_rows == 5
         status, _, body = fetch(port, "/query", "default.limit(0)")
         assert status == 400 and json.loads(body) == {"error": "Bad request", "message": "limit must be a positive number"}
         assert fetch(port, "/nope")[0] == 404 and fetch(port, "/query")[0] == 405
-        assert fetch(port, "/lineageDefinition/pango_lineage")[2].decode() == LINEAGES
-        assert json.loads(fetch(port, "/lineageDefinition/age")[2])["message"] == "The column age is not of type indexed-string."
+        assert fetch(port, "/lineageDefinition/clade")[2].decode() == LINEAGES
+        assert json.loads(fetch(port, "/lineageDefinition/dep")[2])["message"] == "The column dep is not of type indexed-string."
     finally:
         server.shutdown()
 
@@ -241,8 +241,8 @@ def test_command_line(spark, tmp_path, monkeypatch):
     (tmp_path / "c.yaml").write_text("port: 7\noutput: there\n")
     found = options(["api", "--config", str(tmp_path / "c.yaml")])
     assert found.port == "99" and found.output == "there" and options(["api", "--port", "1"]).port == "1"
-    for name, text in (("config.yaml", CONFIG), ("refs.json", REFERENCES), ("small_lineages.yaml", LINEAGES), ("t.nwk", TREE), ("in.json", "\n".join(map(json.dumps, rows())))):
+    for name, text in (("config.yaml", CONFIG), ("refs.json", REFERENCES), ("waters_of_old.yaml", LINEAGES), ("t.nwk", TREE), ("in.json", "\n".join(map(json.dumps, rows())))):
         (tmp_path / name).write_text(text)
-    args = ["preprocessing", "--database-config", "config.yaml", "--reference-genomes", "refs.json", "--lineage-definitions", "small_lineages.yaml", "--phylogenetic-tree", "t.nwk", "--input", "in.json", "--output", "out"]
+    args = ["preprocessing", "--database-config", "config.yaml", "--reference-genomes", "refs.json", "--lineage-definitions", "waters_of_old.yaml", "--phylogenetic-tree", "t.nwk", "--input", "in.json", "--output", "out"]
     assert main([str(tmp_path / a) if (tmp_path / a).exists() or a == "out" else a for a in args]) == 0
     assert Database(str(tmp_path / "out"), spark).query("default").count() == 5

@@ -32,9 +32,9 @@ def test_recombinants():
 
 
 def test_lineage_names_and_aliases():
-    tree = LineageTree.from_yaml(LINEAGES + "'1.10': {parents: [OLD.1]}\n")
-    assert tree.parents["1.10"] == ["B.1.1"] and "OLD.1" in tree
-    assert tree.spelled(tree.descendants("OLD.1", Recombinants.NEVER)) == ["1.10", "B.1.1", "B.1.1.7", "OLD.1"]
+    tree = LineageTree.from_yaml(LINEAGES + "'1.10': {parents: [OLD.SEA]}\n")
+    assert tree.parents["1.10"] == ["Baltic"] and "OLD.SEA" in tree
+    assert tree.spelled(tree.descendants("OLD.SEA", Recombinants.NEVER)) == ["1.10", "Baltic", "Baltic.west", "OLD.SEA"]
 
 
 @pytest.mark.parametrize(
@@ -95,14 +95,14 @@ def test_whole_trees_print_as_they_were_read(shape):
 @pytest.mark.parametrize(
     ("change", "message"),
     [
-        (("name: date, type: date", "name: region, type: date"), "Metadata region is defined twice in the config"),
-        (("name: age, type: int", "name: age, type: int, generateIndex: true"), "Metadata 'age' generateIndex is set, but generating an index is only allowed for types STRING"),
-        (("name: age, type: int", "name: age, type: int, isPhyloTreeField: true"), "Metadata 'age' isPhyloTreeField is set, but the column is not of type STRING."),
-        (("name: age, type: int", "name: age, type: odd"), "Unknown metadata type: odd"),
-        (("name: division, type: string, generateIndex: true", "name: division, type: string, generateLineageIndex: x"), "Metadata 'division' generateLineageIndex is set, generateIndex must also be set."),
-        (("name: division, type: string, generateIndex: true", "name: division, type: string, lineageIndexType: table"), "Metadata 'division' lineageIndexType is set to 'table', but generateLineageIndex is not set."),
-        (("isPhyloTreeField: true", "isPhyloTreeField: true, generateIndex: true"), "Metadata 'primaryKey' isPhyloTreeField and generateIndex are both set, if isPhyloTreeField is set then generateIndex cannot be set."),
-        (("primaryKey: primaryKey", "primaryKey: other"), "Primary key is not in metadata"),
+        (("name: seen, type: date", "name: waters, type: date"), "Metadata waters is defined twice in the config"),
+        (("name: dep, type: int", "name: dep, type: int, generateIndex: true"), "Metadata 'dep' generateIndex is set, but generating an index is only allowed for types STRING"),
+        (("name: dep, type: int", "name: dep, type: int, isPhyloTreeField: true"), "Metadata 'dep' isPhyloTreeField is set, but the column is not of type STRING."),
+        (("name: dep, type: int", "name: dep, type: odd"), "Unknown metadata type: odd"),
+        (("name: harbour, type: string, generateIndex: true", "name: harbour, type: string, generateLineageIndex: x"), "Metadata 'harbour' generateLineageIndex is set, generateIndex must also be set."),
+        (("name: harbour, type: string, generateIndex: true", "name: harbour, type: string, lineageIndexType: table"), "Metadata 'harbour' lineageIndexType is set to 'table', but generateLineageIndex is not set."),
+        (("isPhyloTreeField: true", "isPhyloTreeField: true, generateIndex: true"), "Metadata 'specimenId' isPhyloTreeField and generateIndex are both set, if isPhyloTreeField is set then generateIndex cannot be set."),
+        (("primaryKey: specimenId", "primaryKey: other"), "Primary key is not in metadata"),
         (("lineageIndexType: both", "lineageIndexType: odd"), "Unknown lineageIndexType: 'odd'. Must be one of 'columnMetadata', 'table', 'both'."),
     ],
 )
@@ -122,3 +122,18 @@ def test_references():
 def test_wrong_dates(text):
     with pytest.raises(ValueError):
         to_date(text)
+
+
+@given(st.lists(st.lists(st.integers(0, 30), max_size=3), min_size=2, max_size=12))
+def test_clade_ancestors_by_all_ways_up(shape):
+    parents = {f"n{k}": sorted({f"n{p % k}" for p in own}) if k else [] for k, own in enumerate(shape)}
+    tree = LineageTree(parents, {})
+
+    def ways(name: str) -> list[set[str]]:
+        return [{name} | w for p in parents[name] for w in ways(p)] or [{name}]
+
+    for name, own in parents.items():
+        if len(own) > 1:
+            always = set.intersection(*[w - {name} for w in ways(name)])
+            closest = [x for x in always if all(x == y or y in set.intersection(*ways(x)) for y in always)]
+            assert tree.clade_ancestors[name] == (closest[0] if closest else None)
