@@ -4,14 +4,15 @@ A window has as many words as the item it is held against (a shorter document is
 the shingles of five words of a window or item make a weighted set, the weights being how often each occurs.
 
 * Only windows that hold at least one shingle of an item of their size are fingerprinted: others have similarity 0.
-* A fingerprint is the sign of the weighted sum of the shingles' 64 hash bits; sliding sums give those of all windows.
+* A fingerprint is the sign of the sum of the shingles' 64 hash bits, weighed by the square roots of their weights; sliding sums give those of all windows
+  in which no shingle repeats.  With square roots the cosine of two bags of similarity 0.8 is at least 0.88, whatever the weights.
 * The index cuts fingerprints into 8 blocks of 8 bits.  Two fingerprints at most RADIUS = 23 bits apart agree up to 2 bits in some block,
   so listing each item under every block value at most 2 bits from its own finds all of them, for sure.
 * Candidates within the radius are verified by weighted Jaccard similarity, at least 0.8.  At 0.8 fingerprints
   differ in about 10 bits (standard deviation 3), so the radius leaves more than four deviations.
 
-The benchmark is small by nature; its size is checked before it is broadcast, and more is refused.  The documents are read in
-one pass without an exchange.  Edge cases: null and empty texts and items match nothing; items of one to four words are one
+The benchmark is small by nature; its size is checked before it is broadcast, and a larger one is dealt into blocks of at most ``BLOCK_BYTES`` by hash, each
+held against all documents.  For each block the documents are read in one pass without an exchange.  Edge cases: null and empty texts and items match nothing; items of one to four words are one
 shingle, their whole sequence; repeated items and rows give a row each; an empty table on either side gives an empty result;
 columns beside doc_id, item_id and text are not read.
 """
@@ -20,10 +21,12 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ from helixframe.llm.common import Words, chunks, grams, mix, row_chunks
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 23, 8
-#: Bytes of benchmark text that are broadcast at most.
-MOST_BYTES = 64 << 20
+#: Bytes of benchmark text that are broadcast at once.
+BLOCK_BYTES = 64 << 20
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -45,11 +48,28 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) << _BITS).sum(1, dtype=np.uint64)
 
 
+def simhash(g: np.ndarray) -> np.uint64:
+    """SimHash of one bag of shingles, each weighed by the square root of how often it occurs."""
+    each, n = np.unique(g, return_counts=True)
+    return _packed((np.sqrt(n) @ _signs(each))[None])[0]
+
+
 def simhashes(g: np.ndarray, k: int) -> np.ndarray:
-    """SimHash of g[i : i + k] for each i."""
+    """SimHash of g[i : i + k] for each i: sliding sums, but for windows that hold a shingle twice."""
     total = np.zeros((len(g) + 1, 64), np.int32)
     np.cumsum(_signs(g), axis=0, out=total[1:])
-    return _packed(total[k:] - total[:-k])
+    out = _packed(total[k:] - total[:-k])
+    order = np.argsort(g, kind="stable")
+    same = np.flatnonzero(g[order[1:]] == g[order[:-1]])
+    first, again = order[same], order[same + 1]
+    close = again - first < k
+    if close.any():
+        twice = np.zeros(len(out) + 1, np.int64)
+        np.add.at(twice, np.maximum(again[close] - k + 1, 0), 1)
+        np.add.at(twice, np.minimum(first[close] + 1, len(out)), -1)
+        for i in np.flatnonzero(np.cumsum(twice)[:-1] > 0).tolist():
+            out[i] = simhash(g[i : i + k])
+    return out
 
 
 class BlockIndex:
@@ -103,7 +123,7 @@ class Benchmark:
         for k, (a, b) in enumerate(zip(w.at[:-1].tolist(), w.at[1:].tolist(), strict=True)):
             g = grams(h[a:b], min(SHINGLE, b - a)) if b > a else h[:0]
             self.bags.append(Counter(g.tolist()))
-            prints.append(simhashes(g, len(g))[0] if b > a else np.uint64(0))
+            prints.append(simhash(g) if b > a else np.uint64(0))
             if b > a:
                 self.sizes[b - a].append(k)
                 for x in self.bags[-1]:
@@ -156,12 +176,28 @@ class Benchmark:
 _FOUND = "doc_id long, item_id long, start long, n_words long, similarity double, distance int"
 
 
-def _broadcast(items: DataFrame):
-    bytes_ = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    if bytes_ > MOST_BYTES:
-        raise ValueError(f"the benchmark has {bytes_} bytes, more than {MOST_BYTES}")
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").collect()]
-    return items.sparkSession.sparkContext.broadcast(Benchmark(rows))
+def _blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark in parts of a bounded size, each sent to the executors."""
+    own = items.select("item_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size"))
+    total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = -(-total // BLOCK_BYTES)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts))).cast("int")
+    if parts > 1:  # parts that chance makes larger are dealt anew
+        parts = _enough(own, parts)
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int")
+    for k in range(parts):
+        rows = [(r[0], r[1]) for r in own.where(part == k).select("item_id", "text").collect()]
+        yield items.sparkSession.sparkContext.broadcast(Benchmark(rows))
+
+
+def _enough(own: DataFrame, parts: int) -> int:
+    """So many parts that none has more than BLOCK_BYTES, but for items that repeat or are longer."""
+    each = own.select(F.xxhash64("item_id", "text").alias("h"), "size").dropDuplicates(["h"]).where(f"size < {BLOCK_BYTES // 4}")
+    while True:
+        most = each.groupBy(F.pmod("h", F.lit(parts))).agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0]
+        if (most or 0) <= BLOCK_BYTES:
+            return parts
+        parts += -(-parts // 4)
 
 
 def _matches(bench: Benchmark, texts: pa.Array, least: float) -> Iterator[tuple]:
@@ -180,30 +216,38 @@ def _matches(bench: Benchmark, texts: pa.Array, least: float) -> Iterator[tuple]
 
 
 def decontaminated(df: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``df`` (text, ...) without any matching window, in one pass."""
-    sent = _broadcast(items)
+    """The rows of ``df`` (text, ...) without any matching window, in one pass for each block of the benchmark."""
     packed = df.select(F.struct(*df.columns).alias("row"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in row_chunks(b):
-                clean = np.ones(c.num_rows, bool)
-                clean[[m[0] for m in _matches(sent.value, c.column("text"), similarity)]] = False
-                yield c.select(["row"]).filter(pa.array(clean))
+    def without(sent: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for c in row_chunks(b):
+                    clean = np.ones(c.num_rows, bool)
+                    clean[[m[0] for m in _matches(sent.value, c.column("text"), similarity)]] = False
+                    yield c.select(["row"]).filter(pa.array(clean))
+
+        return run
 
-    return packed.mapInArrow(run, packed.schema).select("row.*")
+    for sent in _blocks(items):
+        packed = packed.mapInArrow(without(sent), packed.schema)
+    return packed.select("row.*")
 
 
 def contaminated(df: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity, distance): the best window of each document and item that match."""
-    sent = _broadcast(items)
+    own = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def found(sent: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for c in chunks(b):
+                    ids, bench = c.column("doc_id").to_pylist(), sent.value
+                    out = [(ids[m[0]], bench.ids[m[1]], *m[2:4], round(m[4], 6), m[5]) for m in _matches(bench, c.column("text"), similarity)]
+                    cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "start", "n_words", "similarity", "distance"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in chunks(b):
-                ids, bench = c.column("doc_id").to_pylist(), sent.value
-                out = [(ids[m[0]], bench.ids[m[1]], *m[2:4], round(m[4], 6), m[5]) for m in _matches(bench, c.column("text"), similarity)]
-                cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "start", "n_words", "similarity", "distance"])
+        return run
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FOUND)
+    parts = [own.mapInArrow(found(sent), _FOUND) for sent in _blocks(items)]
+    return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], _FOUND)

@@ -1,20 +1,18 @@
-"""Line deduplication: repeated passages of lines, and content-defined chunks of lines.
+"""Line deduplication by content-defined chunks of lines, and by pairs of lines where chunks can't tell.
 
-``passage_dedup`` finds every repeated passage of at least two lines that aren't blank.  Each two such lines in a row (with the blank
-ones between) are one window; of windows with equal bytes the first (smallest id, hash of the text, place) stays, and a line goes if it
-stands in a window that isn't the first.  So every line that goes has an equal one that stays.  Windows are matched by 128-bit hash;
-those that follow each other both here and at their first place make one run, whose bytes are compared before it goes.
+A *line* is what stands between ``\\n``; blank ones (white space only) belong to no window.  Each two lines in a row that aren't blank, with the blank ones between,
+are a *window*.  Of windows with equal bytes the first one (smallest id, hash of the text, place) stays, and a line goes if it
+stands in a window that isn't the first.  So every passage of two lines or more that occurs again goes, and every line that goes has an equal one that stays.
 
-``line_dedup`` compares chunks only, so it moves less but misses passages whose edges aren't chunk boundaries.
+1. A hash rolling over the hashes of the last ``ROLL`` lines ends a chunk where it is 0 modulo ``EVERY``, once the chunk has ``LEAST`` lines; nothing else
+   ends one.  Boundaries depend on nearby lines only, so inserted or removed lines shift no chunk beyond the next boundary.
+   Chunks are counted over the corpus by 128-bit hash; copies of an earlier chunk go whole, and their windows aren't looked at again.
+2. Passages whose edges aren't chunk boundaries share no chunk.  So the windows outside of those copies are counted in the same way.  (A window inside a later
+   copy of a chunk has an equal one in the first copy, so leaving it out changes no first window.)
+   Those that follow each other both here and at their first place make one run.
+3. The bytes of every chunk and run are compared with those at its first place before it goes.
 
-Every line (what stands between ``\\n``) is hashed; a hash rolling over the last ``ROLL`` line hashes ends a chunk where it is 0
-modulo ``EVERY``, once the chunk has ``LEAST`` lines.  A run of ``RUN`` or more equal lines is cut off from the lines around it, and
-into chunks of two lines (the last one may have three), since the rolling value is constant in it.  Boundaries depend on nearby lines only, so inserted or removed lines
-shift no chunk beyond the next boundary.  Chunks with at least two lines that aren't blank are compared across
-the corpus by 128-bit hash; of equal ones the first (smallest id, then place) stays, and the others go once their bytes have
-been compared with the first one's.
-
-Only hashes and offsets are exchanged at first; text moves for documents with repeated chunks alone.  Edge cases: null
+Only hashes and places are exchanged at first; text moves for documents with repeated passages alone.  Edge cases: null
 text is the empty text, one line; a null id sorts last; rows that repeat an id and text count as one document and keep or lose lines
 alike; an empty table gives an empty result; other columns are not read.
 """
@@ -23,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,138 +28,72 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import NULL_ID, chunks, ids_of, written
+from helixframe.llm.common import NULL_ID, chunks, written
 
-ROLL, EVERY, LEAST, MOST, RUN = 2, 4, 2, 256, 4
+ROLL, EVERY, LEAST = 2, 4, 2
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def _equal_runs(lines: list[bytes]) -> dict[int, bool]:
-    """Whether a chunk ends after the line, for each line of a run of RUN or more equal lines that aren't blank, and the one before it."""
-    out, at = {}, 0
-    for line, same in groupby(lines):
-        n = len(list(same))
-        if n >= RUN and line.strip():
-            if at:
-                out[at - 1] = True
-            out.update((at + k, (k % 2 == 1 and k != n - 2) or k == n - 1) for k in range(n))
-        at += n
+def full_lines(data: bytes) -> list[tuple[int, int, int]]:
+    """(first byte, end, number) of each line that isn't blank."""
+    out, at = [], 0
+    for k, line in enumerate(data.split(b"\n")):
+        if line.strip():
+            out.append((at, at + len(line), k))
+        at += len(line) + 1
     return out
 
 
-def line_chunks(text: bytes) -> list[tuple[int, int, int, int]]:
-    """(first byte, bytes, lines, lines that aren't blank) of each chunk; a chunk's last line break belongs to it."""
-    out, begin, at, lines, full = [], 0, 0, 0, 0
-    rolled: list[int] = []
-    all_ = text.split(b"\n")
-    runs = _equal_runs(all_)
-    for k, line in enumerate(all_):
-        at += len(line) + (k + 1 < len(all_))
-        lines += 1
-        full += bool(line.strip())
-        rolled = [*rolled[1 - ROLL :], xxhash.xxh3_64_intdigest(line)] if ROLL > 1 else [xxhash.xxh3_64_intdigest(line)]
+def line_chunks(data: bytes, full: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(first, end) of each chunk, in numbers of lines that aren't blank."""
+    out, begin, rolled = [], 0, [0] * ROLL
+    for k, (a, z, _) in enumerate(full):
+        rolled = [*rolled[1:], xxhash.xxh3_64_intdigest(data[a:z])]
         value = 0
         for x in rolled:
             value = (value * _BASE + x) & _MASK
-        ends = runs[k] if k in runs else (lines >= LEAST and (value >> 20) % EVERY == 0) or lines >= MOST
-        if ends or k + 1 == len(all_):
-            out.append((begin, at - begin, lines, full))
-            begin, lines, full = at, 0, 0
+        if k + 1 == len(full) or (k + 1 - begin >= LEAST and (value >> 20) % EVERY == 0):
+            out.append((begin, k + 1))
+            begin = k + 1
     return out
 
 
-def _key(piece: bytes) -> tuple[int, int]:
-    """The chunk without its last line break, which the last chunk of a text lacks."""
-    x = xxhash.xxh3_128_intdigest(piece.removesuffix(b"\n"))
-    return (x >> 64) - (1 << 63), (x & _MASK) - (1 << 63)
+_WINDOW = pa.struct([("place", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
-_POSTED = "id long, whole_sha256 string, n_lines long, pieces array<struct<place:int, h1:long, h2:long, begin:int, size:int, lines:int>>"
+def _lists(rows: list[list[tuple[int, int, bytes]]]) -> pa.Array:
+    """Lists of (place, windows, 128-bit hash)."""
+    flat = [x for own in rows for x in own]
+    h = np.frombuffer(b"".join(x[2] for x in flat), ">i8").astype(np.int64).reshape(-1, 2)
+    columns = [pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1)] + [pa.array(h[:, 0]), pa.array(h[:, 1])]
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_WINDOW)))
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    piece_type = pa.list_(pa.struct([("place", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("begin", pa.int32()), ("size", pa.int32()), ("lines", pa.int32())]))
-    for b in batches:
-        for c in chunks(b):
-            sha, lines, pieces = [], [], []
-            for text in c.column("text").to_pylist():
-                data = text.encode()
-                own = line_chunks(data)
-                sha.append(sha256(data).hexdigest())
-                lines.append(sum(x[2] for x in own))
-                cut = [(k, a, len(data[a : a + n].removesuffix(b"\n")), m, data[a : a + n]) for k, (a, n, m, full) in enumerate(own) if full >= 2]
-                pieces.append([dict(zip(("place", "h1", "h2", "begin", "size", "lines"), (k, *_key(p), a, n, m), strict=True)) for k, a, n, m, p in cut])
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(c.column("doc_id"))), pa.array(sha), pa.array(lines, pa.int64()), pa.array(pieces, piece_type)], ["id", "whole_sha256", "n_lines", "pieces"])
-
-
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for c in chunks(b):
-            sha, removed, kept = [], [], []
-            for text, gone in zip(c.column("text").to_pylist(), c.column("gone").to_pylist(), strict=True):
-                data, lose = text.encode(), set(gone)
-                own = line_chunks(data)
-                out = b"".join(data[a : a + n] for k, (a, n, _, _) in enumerate(own) if k not in lose)
-                if own and len(own) - 1 in lose:
-                    out = out.removesuffix(b"\n")
-                sha.append(sha256(out).hexdigest())
-                removed.append(sum(m for k, (_, _, m, _) in enumerate(own) if k in lose))
-                kept.append(out.decode())
-            yield pa.RecordBatch.from_arrays([c.column("id"), c.column("whole_sha256"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept)], ["id", "whole_sha256", "n_removed", "kept_sha256", "kept_text"])
-
+_POSTED = "id long, mark long, whole_sha256 string, n_lines long, chunks array<struct<place:int,n:int,h1:long,h2:long>>, windows array<struct<place:int,n:int,h1:long,h2:long>>"
 
-def line_dedup(df: DataFrame, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_sha256) of each row of ``df`` (doc_id, text, ...).
 
-    With ``keep_text`` also kept_text, null where nothing was removed.
-    """
-    own = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    posted = written(own.mapInArrow(_post, _POSTED), "lines")
-    each = posted.select("id", "whole_sha256", F.explode("pieces").alias("p")).select("id", "whole_sha256", "p.*").distinct()
-    firsts = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "whole_sha256", "place")).alias("first")).where("n > 1").drop("n")
-    found = each.join(firsts, ["h1", "h2"]).withColumn("is_first", F.col("first") == F.struct("id", "whole_sha256", "place")).drop("first", "lines")
-    hits = found.groupBy("id", "whole_sha256").agg(F.collect_list(F.struct("place", "h1", "h2", "begin", "size", "is_first")).alias("hits"))
-    text = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha256"), "text")
-    some = written(text.join(hits, ["id", "whole_sha256"]).dropDuplicates(["id", "whole_sha256"]), "repeated")
-    piece = F.expr("substring(cast(text AS binary), h.begin + 1, h.size)")
-    pieces = some.select("id", "whole_sha256", "text", F.explode("hits").alias("h")).select("id", "whole_sha256", "h.*", piece.alias("bytes"))
-    first = pieces.where("is_first").select("h1", "h2", F.col("bytes").alias("first_bytes"))
-    equal = pieces.where("NOT is_first").join(first, ["h1", "h2"]).where("bytes = first_bytes")
-    gone = equal.groupBy("id", "whole_sha256").agg(F.collect_list("place").alias("gone"))
-    cleaned = some.select("id", "whole_sha256", "text").join(gone, ["id", "whole_sha256"])
-    cleaned = cleaned.mapInArrow(_clean, "id long, whole_sha256 string, n_removed long, kept_sha256 string, kept_text string")
-    out = posted.drop("pieces").join(cleaned if keep_text else cleaned.drop("kept_text"), ["id", "whole_sha256"], "left")
-    extra = ["kept_text"] if keep_text else []
-    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), *extra)
-
-
-def full_lines(data: bytes) -> list[tuple[int, int, int]]:
-    """(first byte, end, number) of each line that isn't blank."""
-    out, at = [], 0
-    for k, line in enumerate(data.split(b"\n")):
-        if line.strip():
-            out.append((at, at + len(line), k))
-        at += len(line) + 1
-    return out
-
-
-def _post_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for c in chunks(b):
-            sha, lines, keys, at = [], [], [], [0]
+            sha, lines, cut, windows = [], [], [], []
             for text in c.column("text").to_pylist():
                 data = text.encode()
                 full = full_lines(data)
                 sha.append(sha256(data).hexdigest())
                 lines.append(data.count(b"\n") + 1)
-                keys += [xxhash.xxh3_128_digest(data[x[0] : y[1]]) for x, y in zip(full, full[1:], strict=False)]
-                at.append(len(keys))
-            h = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
-            ends = np.array(at)
-            place = np.arange(len(keys)) - np.repeat(ends[:-1], np.diff(ends))
-            windows = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["place", "h1", "h2"])
-            windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), windows)
-            yield pa.RecordBatch.from_arrays([c.column("id"), c.column("mark"), pa.array(sha), pa.array(lines, pa.int64()), windows], ["id", "mark", "whole_sha256", "n_lines", "windows"])
+                print_ = lambda a, z: xxhash.xxh3_128_digest(data[full[a][0] : full[z][1]])  # noqa: B023, E731
+                cut.append([(a, z - a - 1, print_(a, z - 1)) for a, z in line_chunks(data, full) if z - a > 1])
+                windows.append([(k, 1, print_(k, k + 1)) for k in range(len(full) - 1)])
+            yield pa.RecordBatch.from_arrays([c.column("id"), c.column("mark"), pa.array(sha), pa.array(lines, pa.int64()), _lists(cut), _lists(windows)], ["id", "mark", "whole_sha256", "n_lines", "chunks", "windows"])
+
+
+def _later(each: DataFrame, name: str) -> DataFrame:
+    """Of (id, mark, place, n, h1, h2): those with an equal one before them, and where the first one stands."""
+    firsts = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("all"), F.min(F.struct("id", "mark", "place")).alias("first")).where("all > 1").drop("all")
+    # written, so that the join below it reads two plain exchanges, and a hot hash can be split
+    again = each.join(written(firsts, name), ["h1", "h2"]).where(F.col("first") != F.struct("id", "mark", "place"))
+    return again.select("id", "mark", "place", "n", F.col("first.id").alias("f_id"), F.col("first.mark").alias("f_mark"), F.col("first.place").alias("f_place"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,24 +144,29 @@ def _drop_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([c.column("id"), c.column("mark"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], ["id", "mark", "n_removed", "kept_sha256", "kept_text"])
 
 
-def passage_dedup(df: DataFrame, keep_text: bool = False) -> DataFrame:
-    """As ``line_dedup``, but without every repeated passage of two lines or more that aren't blank."""
+def line_dedup(df: DataFrame, keep_text: bool = False) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept_sha256) of each row of ``df`` (doc_id, text, ...).
+
+    With ``keep_text`` also kept_text, null where nothing was removed.
+    """
     text = F.coalesce("text", F.lit(""))
     own = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    windows = "id long, mark long, whole_sha256 string, n_lines long, windows array<struct<place:int, h1:long, h2:long>>"
-    posted = written(own.mapInArrow(_post_windows, windows), "lines")
-    each = posted.select("id", "mark", F.explode("windows").alias("w")).select("id", "mark", "w.*")
-    firsts = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "place")).alias("first")).where("n > 1").drop("n")
-    again = each.join(firsts, ["h1", "h2"]).where(F.col("first") != F.struct("id", "mark", "place"))
-    hit = F.struct("place", F.col("first.id").alias("f_id"), F.col("first.mark").alias("f_mark"), F.col("first.place").alias("f_place"))
-    hits = again.groupBy("id", "mark").agg(F.collect_set(hit).alias("hits"))
-    runs = written(hits.mapInArrow(_runs, "id long, mark long, place int, n int, f_id long, f_mark long, f_place int"), "runs")
+    posted = written(own.mapInArrow(_post, _POSTED), "lines")
+    each = lambda df, c: df.select("id", "mark", F.explode(c).alias("w")).select("id", "mark", "w.*")
+    copies = written(_later(each(posted, "chunks"), "chunks").distinct(), "copies")
+    spans = copies.groupBy("id", "mark").agg(F.collect_set(F.struct("place", "n")).alias("spans"))
+    inside = lambda w: F.exists("spans", lambda s: (w["place"] >= s["place"]) & (w["place"] < s["place"] + s["n"]))
+    rest = F.when(F.col("spans").isNull(), F.col("windows")).otherwise(F.filter("windows", lambda w: ~inside(w)))
+    outside = posted.select("id", "mark", "windows").join(spans, ["id", "mark"], "left").select("id", "mark", rest.alias("windows"))
+    hits = _later(each(outside, "windows"), "windows").groupBy("id", "mark").agg(F.collect_set(F.struct("place", "f_id", "f_mark", "f_place")).alias("hits"))
+    fields = "id long, mark long, place int, n int, f_id long, f_mark long, f_place int"
+    runs = copies.unionByName(written(hits.mapInArrow(_runs, fields), "runs"))
     wanted = runs.groupBy(F.col("f_id").alias("id"), F.col("f_mark").alias("mark")).agg(F.collect_set(F.struct("f_place", "n")).alias("runs"))
     once = lambda lists: own.join(lists, ["id", "mark"]).dropDuplicates(["id", "mark"])
     pieces = written(once(wanted).mapInArrow(_run_bytes, "f_id long, f_mark long, f_place int, n int, first_bytes binary"), "pieces")
     told = runs.join(pieces, ["f_id", "f_mark", "f_place", "n"])
     told = told.groupBy("id", "mark").agg(F.collect_list(F.struct("place", "n", "first_bytes")).alias("runs"))
     cleaned = once(told).mapInArrow(_drop_runs, "id long, mark long, n_removed long, kept_sha256 string, kept_text string")
-    out = posted.drop("windows").join(cleaned if keep_text else cleaned.drop("kept_text"), ["id", "mark"], "left")
+    out = posted.drop("chunks", "windows").join(cleaned if keep_text else cleaned.drop("kept_text"), ["id", "mark"], "left")
     extra = ["kept_text"] if keep_text else []
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), *extra)

@@ -8,14 +8,16 @@ hardly in clean ones, on at most about ``LEXICON_ROWS`` gold documents of either
 words of the other half of the gold documents, so that EM doesn't overrate these labellers.
 EM runs on the counts of vote patterns over all documents (at most 3^labellers
 rows, whatever the corpus), and estimates each labeller's outcome rates given the true class.  The posterior labels of a sample
-of ``train_rows`` documents (a documented bound, the smallest hashes of doc_id) train a linear scorer by FTRL with L1
-regularisation over hashed features: each distinct lower-cased word, and each statistic's bin.  The scorer then reads every
+of at most ``train_rows`` documents (those with the smallest hashes of id and text) and at most TRAIN_FEATURES features of each train a linear scorer by FTRL with L1
+regularisation over hashed features: each distinct lower-cased word, and each statistic's bin.  Both bounds hold for the fit alone.  The scorer then reads every
 whole document.  A document is rejected if either score is 0.5 or more.
 
 A language needs about five toxic gold documents with a word in common (of some 10 % toxic ones) before that word is learned.
 
-Edge cases: null and empty texts have no words, get no vote and only the scorer's bias and bins; ties at the sample's
-border and repeated rows are taken alike; an empty table gives an empty result; other columns pass through.
+The texts are read once for the votes and the sample's features, which are written, and once for the scores; gold documents once more for their words.
+
+Edge cases: null and empty texts have no words, get no vote and only the scorer's bias and bins; rows that repeat an id and text
+vote as often as they occur; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import Words, chunks, ids_of, mix, row_chunks
+from helixframe.llm.common import Words, chunks, ids_of, mix, row_chunks, written
 
 ASPECTS = ("junk", "toxic")
 #: Common English insults, the lexicon of two labellers.
@@ -38,7 +40,8 @@ INSULTS = (
     "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "ugly", "vermin", "worthless",
 )
 BITS = 18
-TRAIN_ROWS = 12_000
+#: Documents that train the scorer, and features of one of them, at most.
+TRAIN_ROWS, TRAIN_FEATURES = 12_000, 2_048
 #: Gold documents of either class, and words, that the learned labellers use at most.
 LEXICON_ROWS, LEXICON_WORDS = 10_000, 20_000
 #: A learned word's evidence (log-likelihood ratio against the language's toxic share) and share of toxic documents.
@@ -208,8 +211,12 @@ def _up_to(share: float) -> Column:
     return F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)
 
 
-def vote_table(df: DataFrame, lexicons: list[np.ndarray] | None = None) -> DataFrame:
-    """(doc_id, junk, toxic, gold_code): each document's votes, a base-3 number for each aspect; gold_code is toxic for a gold document."""
+def vote_table(df: DataFrame, lexicons: list[np.ndarray] | None = None, share: float = 0.0) -> DataFrame:
+    """(doc_id, junk, toxic, gold_code, place, features), in one pass over the texts.
+
+    junk and toxic are each document's votes, a base-3 number for each aspect; gold_code is toxic for a gold document.  The ``share`` of the documents with the
+    smallest ``place`` has features: distinct hashed ones, at most TRAIN_FEATURES of a document, chosen by hash.
+    """
     lexicons = lexicons or [np.zeros(0, np.uint64)] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +227,20 @@ def vote_table(df: DataFrame, lexicons: list[np.ndarray] | None = None) -> DataF
                 hits = [f.learned(keys, x) for x in lexicons]
                 v = [votes(f, x) for x in (hits[2], np.where(_half(ids_of(c.column("doc_id"))) == 0, hits[1], hits[0]))]
                 code = [sum(x.astype(np.int32) * 3**k for k, x in enumerate(a)) for a in (v[0]["junk"], v[0]["toxic"], v[1]["toxic"])]
-                yield pa.RecordBatch.from_arrays([c.column("doc_id").cast(pa.int64()), *[pa.array(x, pa.int32()) for x in code]], ["doc_id", *ASPECTS, "gold_code"])
+                h, at, bins = f.hashed(), f.words.at, f.bins()
+                own = [_some(np.unique(np.concatenate([h[at[k] : at[k + 1]], bins[k]]))) if near else None for k, near in enumerate(c.column("near").to_pylist())]
+                cols = [c.column("doc_id"), *[pa.array(x, pa.int32()) for x in code], c.column("place"), pa.array(own, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *ASPECTS, "gold_code", "place", "features"])
 
-    return df.select("doc_id", "text", _lang(df)).mapInArrow(run, "doc_id long, junk int, toxic int, gold_code int")
+    place = F.xxhash64(F.lit(41), "doc_id", "text")
+    own = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _lang(df), place.alias("place"))
+    return own.withColumn("near", F.col("place") <= _up_to(share)).mapInArrow(run, "doc_id long, junk int, toxic int, gold_code int, place long, features array<int>")
+
+
+def _some(features: np.ndarray) -> np.ndarray:
+    if len(features) <= TRAIN_FEATURES:
+        return features
+    return np.sort(features[np.argpartition(mix(features.astype(np.uint64)), TRAIN_FEATURES)[:TRAIN_FEATURES]])
 
 
 def expectation_maximisation(counts: dict[int, int], labellers: int, rounds: int = 50, gold: bool = False) -> tuple[dict[int, float], np.ndarray]:
@@ -269,20 +287,6 @@ def train_scorer(rows: list[tuple[np.ndarray, float]], passes: int = 3, alpha: f
     return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1 + s) / alpha + l2))
 
 
-def _training_rows(df: DataFrame) -> DataFrame:
-    """(doc_id, features): the distinct hashed features of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in chunks(b):
-                f = Features(c.column("text"))
-                h, at, bins = f.hashed(), f.words.at, f.bins()
-                own = [np.unique(np.concatenate([h[at[k] : at[k + 1]], bins[k]])) for k in range(len(f.n))]
-                yield pa.RecordBatch.from_arrays([c.column("doc_id").cast(pa.int64()), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "features"])
-
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, features array<int>")
-
-
 def score_documents(df: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     """``df`` (doc_id, text, ...) as a struct ``row`` with junk_score and toxic_score."""
     sent = df.sparkSession.sparkContext.broadcast(weights)  # 2 vectors of 2^18 numbers
@@ -309,17 +313,20 @@ def score_documents(df: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
 def fit(df: DataFrame, gold: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Weights of both scorers; ``gold`` has doc_id, quality (0: junk) and toxic (1: toxic)."""
     labellers = dict(HEURISTICS)
+    share = min(1.0, 1.2 * train_rows / max(1, df.count()))
     if gold is not None:
         sure = gold.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("gold_toxic"))
+        told = written(vote_table(df, learn_words(df, sure), share), "votes")
         vote = lambda bad, good: F.when(bad, 2).when(good, 1).otherwise(0)
-        table = vote_table(df, learn_words(df, sure)).join(sure, "doc_id", "left").select(
+        table = told.join(sure, "doc_id", "left").select(
             "doc_id",
             (F.col("junk") + 3 ** HEURISTICS["junk"] * vote(F.col("quality") == 0, F.col("quality") == 1)).alias("junk"),
             (F.when(F.col("gold_toxic").isNull(), F.col("toxic")).otherwise(F.col("gold_code")) + 3 ** HEURISTICS["toxic"] * vote(F.col("gold_toxic") == 1, F.col("gold_toxic") == 0)).alias("toxic"),
-        )
+            "place", "features",
+        )
         labellers = {a: n + 1 for a, n in labellers.items()}
     else:
-        table = vote_table(df).drop("gold_code")
+        table = written(vote_table(df, None, share), "votes")
     patterns = table.groupBy(*ASPECTS).count().collect()  # at most 3^6 * 3^6 rows, of which few occur
     beliefs = {}
     for k, a in enumerate(ASPECTS):
@@ -327,13 +334,10 @@ def fit(df: DataFrame, gold: DataFrame | None = None, train_rows: int = TRAIN_RO
         for r in patterns:
             counts[r[k]] = counts.get(r[k], 0) + r["count"]
         beliefs[a] = expectation_maximisation(counts, labellers[a], gold=gold is not None)[0] if counts else {}
-    total = sum(r["count"] for r in patterns)
-    if not total:
+    if not patterns:
         return {a: np.zeros((1 << BITS) + 1) for a in ASPECTS}
-    place = F.xxhash64(F.lit(41), F.col("doc_id"))
-    share = min(1.0, train_rows / total)
-    chosen = df.where(place <= _up_to(share)) if share < 1 else df
-    rows = _training_rows(chosen).join(table, "doc_id").orderBy("doc_id", "junk", "toxic").limit(2 * train_rows).toPandas()
+    chosen = table.where("features IS NOT NULL").orderBy("place", "doc_id", *ASPECTS).limit(train_rows)
+    rows = chosen.select("features", *ASPECTS).toPandas()
     return {a: train_scorer([(np.asarray(x), beliefs[a][c]) for x, c in zip(rows["features"], rows[a], strict=True)]) for a in ASPECTS}
 
 

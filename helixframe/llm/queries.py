@@ -44,9 +44,9 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from helixframe.llm.line_dedup import passage_dedup
+    from helixframe.llm.line_dedup import line_dedup
 
-    return passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +114,30 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op4_mix_sources": r"""
+        WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                          md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')) AS x FROM documents),
+             b AS (SELECT *, CAST('0x' || substr(x, 1, 15) AS BIGINT) AS seat, CAST('0x' || substr(x, 17, 8) AS BIGINT) % 8 AS shard FROM d),
+             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM b GROUP BY source),
+             w AS (SELECT *, k % 3 + 1 AS weight, sum(n) OVER () AS total, row_number() OVER (ORDER BY 3.0 * n / (k % 3 + 1), k) AS o FROM s),
+             f AS (SELECT *, coalesce(sum(3 * n) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before, sum(weight) OVER (ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w),
+             c AS (SELECT min(o) AS first_open FROM f WHERE (total - full_before) * weight <= 3 * n * open_weight),
+             l AS (SELECT CAST(total - full_before AS DOUBLE) AS rest, CAST(open_weight AS DOUBLE) AS ow FROM f, c WHERE o = first_open),
+             t AS (SELECT source, n, k, total, CASE WHEN o < coalesce(first_open, 1000000) THEN CAST(3 * n AS DOUBLE) ELSE (SELECT rest FROM l) * weight / (SELECT ow FROM l) END AS target FROM f, c),
+             q AS (SELECT k, target, row_number() OVER (ORDER BY target / CAST(2 * j + 1 AS DOUBLE) DESC, k) AS r, CAST((2 * total + 32) // 64 AS BIGINT) AS seats
+                   FROM t, unnest(range(0, CAST((2 * total + 32) // 64 AS BIGINT))) u(j) WHERE target > 0),
+             g AS (SELECT k, count(*) AS seats FROM q WHERE r <= seats GROUP BY k),
+             cells AS (SELECT k, shard, sum(size) AS words FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source GROUP BY ALL),
+             h AS (SELECT cells.k, shard, seats, row_number() OVER (PARTITION BY cells.k ORDER BY CAST(words AS DOUBLE) / CAST(2 * j + 1 AS DOUBLE) DESC, shard) AS r
+                   FROM cells JOIN g USING (k), unnest(range(0, seats)) u(j) WHERE words > 0),
+             got AS (SELECT k, shard, count(*) AS seats FROM h WHERE r <= seats GROUP BY ALL),
+             z AS (SELECT t.source, t.n, t.target, cells.shard, cells.words, CASE WHEN t.target >= 3 * t.n THEN 3 * cells.words ELSE least(32 * coalesce(got.seats, 0), 3 * cells.words) END AS quota
+                   FROM t JOIN cells USING (k) LEFT JOIN got ON got.k = t.k AND got.shard = cells.shard),
+             y AS (SELECT doc_id, size, z.n, z.target, z.words, z.quota, coalesce(sum(size) OVER (PARTITION BY b.source, b.shard ORDER BY seat, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+                   FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source AND b.shard = z.shard)
+        SELECT doc_id, size, n AS source_size, target,
+               CAST(CASE WHEN words > 0 THEN quota // words * size + greatest(0, least(size, quota % words - begins)) ELSE 0 END AS BIGINT) AS taken FROM y
+    """,
     "op5_near_dedup": r"""
         WITH RECURSIVE
              d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -126,6 +150,17 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(c) AS component_id, d.doc_id = min(c) AS kept
         FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n
     """,
+    "op6_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+             l AS (SELECT doc_id, k, ls[k] AS x, regexp_matches(ls[k], '[^\x20\x09-\x0D]') AS f FROM d, unnest(range(1, len(ls) + 1)) t(k)),
+             w AS (SELECT doc_id, k AS a, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS z FROM l WHERE f),
+             t AS (SELECT doc_id, a, z, array_to_string(list_slice(ls, a, z), chr(10)) AS txt FROM w JOIN d USING (doc_id) WHERE z IS NOT NULL),
+             r AS (SELECT doc_id, a, z, row_number() OVER (PARTITION BY txt ORDER BY doc_id, a) AS r FROM t),
+             gone AS (SELECT DISTINCT doc_id, k FROM r, unnest(range(a, z + 1)) t(k) WHERE r > 1),
+             kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY k) AS txt, count(*) AS n FROM l ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve: rows are sorted by the curve index of their quantised metadata and cut into runs.
 
-Each dimension is turned into an order-keeping integer (strings by their first seven bytes) and quantised at its
-approximate quantiles, so that cells hold about equally many rows; the index is computed with numpy.  Rows of one
+Each dimension is turned into an order-keeping integer (strings by the seven bytes after what all of them begin with) and quantised at its
+quantiles, so that cells hold about equally many rows; the index is computed with numpy.  Quantiles come from exact counts of all rows, by value where there
+are few and else in bins (by the seven highest bits), so they don't depend on how the rows are dealt out, and reruns agree.  Rows of one
 text share the cell of their smallest id and stand next to each other, so a cut parts at most one such group.  The
 sort is a range exchange of the full key, whose last parts (text hash, id) split any hot cell; the numbered rows
 are written to the shared folder once, and a run's place follows from the row counts of the parts before it.
@@ -13,7 +14,7 @@ one group with other nulls; repeated rows get a slot each; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import written
+from helixframe.llm.common import numbered, written
 
 BITS = 5
-_LOW33 = (1 << 33) - 1
+#: Distinct values of a dimension that are counted one by one; more are counted in bins.
+BINS = 8_192
 
 
 def hilbert_index(coords: Sequence[np.ndarray], bits: int) -> np.ndarray:
@@ -52,15 +54,49 @@ def hilbert_index(coords: Sequence[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(column: Column, kind: T.DataType) -> Column:
-    """An order-keeping long: numbers as they are, strings by their first seven bytes; null is the smallest."""
+def ordinal(column: Column, kind: T.DataType, shared: int = 0) -> Column:
+    """An order-keeping long: numbers as they are, strings by the seven bytes after the ``shared`` first ones; null is the smallest."""
     if isinstance(kind, T.StringType):
-        value = F.conv(F.hex(F.rpad(F.substring(F.encode(column, "UTF-8"), 1, 7), F.lit(7), F.lit(b"\0"))), 16, 10).cast("long")
+        rest = F.substring(F.encode(column, "UTF-8"), shared + 1, 7)
+        value = F.conv(F.hex(F.rpad(rest, F.lit(7), F.lit(b"\0"))), 16, 10).cast("long")
     else:
         value = column.cast("long")
     return F.coalesce(value, F.lit(-(1 << 62)))
 
 
+def _bin(value: Column) -> Column:
+    """The value with all but the seven highest bits of its amount cleared: at most some 8,000 values, in order."""
+    amount = F.abs(value)
+    low = F.greatest(F.length(F.bin(amount)) - 7, F.lit(0))
+    kept = F.call_function("shiftleft", F.call_function("shiftright", amount, low), low)
+    return F.when(value < 0, -kept).otherwise(kept)
+
+
+def quantile_edges(base: DataFrame, names: Sequence[str], bits: int) -> list[np.ndarray]:
+    """For each column the values at which its cells begin: 2^bits cells of about equally many rows."""
+    out = []
+    for n in names:
+        found = base.groupBy(F.col(n).alias("v")).count().limit(BINS + 1).collect()
+        if len(found) > BINS:
+            found = base.groupBy(_bin(F.col(n)).alias("v")).count().collect()
+        counts = sorted((r[0], r[1]) for r in found)
+        values, rows = np.array([v for v, _ in counts], np.int64), np.array([c for _, c in counts], np.int64)
+        below = np.cumsum(rows) - rows
+        total = int(rows.sum())
+        at = np.searchsorted(below, [total * k / (1 << bits) for k in range(1, 1 << bits)]) if total else np.zeros(0, np.int64)
+        out.append(np.unique(values[at[at < len(values)]]))
+    return out
+
+
+def _shared_bytes(df: DataFrame, dims: Sequence[str]) -> dict[str, int]:
+    """How many bytes all values of a string column begin with: the smallest and the largest tell."""
+    names = [d for d in dims if d in df.columns and isinstance(df.schema[d].dataType, T.StringType)]
+    if not names:
+        return {}
+    ends = df.select(*[F.struct(F.min(d), F.max(d)).alias(d) for d in names]).first()
+    return {d: len(commonprefix([(x or "").encode() for x in ends[d]])) for d in names}
+
+
 def hilbert_shards(df: DataFrame, dims: Sequence[str] = ("source", "lang", "size"), shards: int = 8, bits: int = BITS, law: str = "rows", keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` (doc_id, text, ...) as a struct ``row`` with size, text_crc32, curve, shard and slot.
 
@@ -70,7 +106,8 @@ def hilbert_shards(df: DataFrame, dims: Sequence[str] = ("source", "lang", "size
     if law != "rows":
         raise ValueError(f"unknown law {law!r}")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    own = lambda d: ordinal(size, T.LongType()) if d == "size" else ordinal(F.col(d), df.schema[d].dataType)
+    shared = _shared_bytes(df, dims)
+    own = lambda d: ordinal(size, T.LongType()) if d == "size" else ordinal(F.col(d), df.schema[d].dataType, shared.get(d, 0))
     base = df.select(
         F.struct(*(df.columns if keep is None else keep)).alias("row"),
         size.alias("size"),
@@ -79,9 +116,7 @@ def hilbert_shards(df: DataFrame, dims: Sequence[str] = ("source", "lang", "size
         *[own(d).alias(f"dim{k}") for k, d in enumerate(dims)],
     )
     names = [f"dim{k}" for k in range(len(dims))]
-    steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = base.select(*[F.percentile_approx(n, steps, 1000).alias(n) for n in names]).first()
-    edges = [np.unique(np.array(cuts[n] or [], np.int64)) for n in names]
+    edges = quantile_edges(base, names, bits)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,24 +125,24 @@ def hilbert_shards(df: DataFrame, dims: Sequence[str] = ("source", "lang", "size
 
     first = base.groupBy("same").agg(F.min(F.struct("row.doc_id", *names)).alias("m")).select("same", *[F.col(f"m.{n}").alias(n) for n in names])
     curve = first.mapInArrow(index, "same long, curve long")
-    placed = base.drop(*names).join(curve, "same")
-    key = [F.col("curve"), F.col("same"), F.col("row.doc_id")]
-    line = written(placed.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id()), "shards")
-    part = F.shiftright("at", 33)
-    counts = {r[0]: r[1] for r in line.groupBy(part.alias("part")).count().collect()}  # one number for each part
-    total = sum(counts.values())
-    offsets = dict(zip(sorted(counts), accumulate([0, *[counts[p] for p in sorted(counts)]]), strict=False))
-    spark = df.sparkSession
-    begins = spark.createDataFrame([(int(p), int(o)) for p, o in offsets.items()], "part long, offset long")
+    # written, so that the join below it reads two plain exchanges, and a hot group can be split
+    placed = base.drop(*names).join(written(curve, "curve"), "same")
+    ranked, total = numbered(placed, [F.col("curve"), F.col("same"), F.col("row.doc_id")], "shards")
     each, more = divmod(total, shards)
     edge = more * (each + 1)  # the first `more` shards have one row more
     rank = F.col("rank")
     shard = F.when(rank < edge, F.expr(f"rank div {each + 1}")).otherwise(F.lit(more) + F.expr(f"(rank - {edge}) div {max(1, each)}"))
     head = F.when(F.col("shard") < more, F.col("shard") * (each + 1)).otherwise(F.lit(edge) + (F.col("shard") - more) * each)
     return (
-        line.withColumn("part", part)
-        .join(F.broadcast(begins), "part")
-        .withColumn("rank", F.col("offset") + F.col("at").bitwiseAND(F.lit(_LOW33)))
-        .withColumn("shard", shard.cast("int"))
+        ranked.withColumn("shard", shard.cast("int"))
         .select("row", "size", "text_crc32", "curve", "shard", (rank - head).cast("long").alias("slot"))
     )
+
+
+def write_shards(sharded: DataFrame, path: str, rows_each: int = 100_000) -> None:
+    """Write ``row`` of what ``hilbert_shards`` gives, a folder for each shard, in the order of the curve.
+
+    A file has at most ``rows_each`` rows, so the statistics of its columns span a small box of all dimensions, and readers skip what lies outside of a filter.
+    """
+    line = sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    line.select("row.*", F.col("shard").alias("curve_shard")).write.partitionBy("curve_shard").option("maxRecordsPerFile", rows_each).option("compression", "zstd").parquet(path)

@@ -1,10 +1,10 @@
 """Token counts by scanning flat token streams for end-of-document identifiers.
 
 A stream is a run of fixed-width identifiers with no index: documents follow each other, each ended by a
-separator.  Streams are kept as blocks of fixed size that pay no heed to document ends.  A scan looks at each block
-alone (one vectorised comparison), and yields the tokens before the first separator, between separators, and after
+separator.  ``write_streams`` makes such files, ``scan_files`` reads these or any others.  A scan cuts a file into blocks of fixed size that pay no heed to document
+ends, looks at each block alone (one vectorised comparison), and yields the tokens before the first separator, between separators, and after
 the last one.  A prefix scan over the blocks of a stream then carries open tokens into the document that a later
-block closes, and numbers the documents.  Raw ``.bin`` files are scanned in the same way (``scan_files``).
+block closes, and numbers the documents.  Spark reads a file of up to 2 GB as one row; the files written here have at most some 16 MB.
 
 Edge cases: null and empty texts are documents of 0 tokens; separators spelled in a text are ordinary text to the
 tokenizer, so they never end a document; tokens after the last separator of a stream form a last, unended document
@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import chunks, written
+from helixframe.llm.common import NULL_ID, chunks, ids_of, scratch
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The identifier that the vocabulary leaves free for the end of a document.
 SEPARATOR = 50256
-#: Tokens of a block.
-BLOCK = 1 << 18
+#: Tokens of a block; bytes of text that become one row of a file, and bytes of a file, which is read as a whole.
+BLOCK, PIECE_BYTES, STREAM_BYTES = 1 << 18, 1 << 20, 16 << 20
 _ENCODERS: dict = {}
 
 
@@ -53,42 +53,41 @@ def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
     return _ENCODERS[key]
 
 
-def token_streams(df: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, separator: int = SEPARATOR, block: int = BLOCK, dtype: str = "<u2") -> DataFrame:
-    """One stream for each task: (stream, block, tokens, ids), where ids are those of the documents whose text began in the block.
+def write_streams(df: DataFrame, path: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, separator: int = SEPARATOR, stream_bytes: int = STREAM_BYTES) -> None:
+    """Tokenize documents into flat files under ``path``: identifiers of two bytes, each document ended by the separator, nothing else.
 
-    ids name the documents in order; they say nothing of where one ends.
+    Spark's text writer writes them, with the separator's two bytes as what ends a row, so they can lie in any store.  ``kind=tokens/stream=N`` has a
+    stream's file, ``kind=ids/stream=N`` the documents' ids in order, which say nothing of where one ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, stream, number = encoder(folder, vocabulary), TaskContext.get().partitionId(), 0
-        held: list[np.ndarray] = []
-        ids: list = []
-        size = 0
-
-        def cut(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, ids, size, number
-            flat = np.concatenate(held) if held else np.zeros(0, dtype)
-            whole = len(flat) if last else len(flat) // block * block
-            for k in range(0, whole, block):
-                own = ids if not k else []
-                yield pa.RecordBatch.from_arrays([pa.array([stream], pa.int32()), pa.array([number], pa.int32()), pa.array([flat[k : min(k + block, whole)].tobytes()], pa.binary()), pa.array([own], pa.list_(pa.int64()))], ["stream", "block", "tokens", "ids"])
-                number += 1
-                ids = [] if not k else ids
-            held, size = [flat[whole:]], len(flat) - whole
+        enc, stream = encoder(folder, vocabulary), TaskContext.get().partitionId() << 20
+        end = np.array([separator], "<u2")
+        ids: list[np.ndarray] = []
+        written_, seq = 0, 0
 
-        for b in batches:
-            for c in chunks(b):
-                for i, text in zip(c.column("doc_id").to_pylist(), c.column("text").to_pylist(), strict=True):
-                    got = np.empty(0, dtype) if not text else np.array(enc.encode_ordinary(text), dtype)
-                    held += [got, np.array([separator], dtype)]
-                    ids.append(i)
-                    size += len(got) + 1
-                    if size >= block:
-                        yield from cut(False)
-        if size:
-            yield from cut(True)
+        def row(kind: str, seq: int, value: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([stream], pa.int64()), pa.array([seq], pa.int64()), pa.array([value], pa.binary())], ["kind", "stream", "seq", "value"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "stream int, block int, tokens binary, ids array<long>")
+        for b in batches:
+            for c in chunks(b, most=PIECE_BYTES):
+                held = []
+                for text in c.column("text").to_pylist():
+                    held += [np.array(enc.encode_ordinary(text), "<u2"), end]
+                value = np.concatenate(held[:-1]).tobytes()  # the writer adds the last separator
+                yield row("tokens", seq, value)
+                ids.append(ids_of(c.column("doc_id")))
+                written_, seq = written_ + len(value), seq + 1
+                if written_ >= stream_bytes:
+                    yield row("ids", 0, np.concatenate(ids).astype("<i8").tobytes())
+                    ids, written_, seq, stream = [], 0, 0, stream + 1
+        if ids:
+            yield row("ids", 0, np.concatenate(ids).astype("<i8").tobytes())
+
+    pieces = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind string, stream long, seq long, value binary")
+    pieces = pieces.sortWithinPartitions("kind", "stream", "seq").select("kind", "stream", F.col("value").cast("string").alias("value"))
+    ended = int(separator).to_bytes(2, "little").decode("latin-1")
+    pieces.write.partitionBy("kind", "stream").option("lineSep", ended).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
 
 
 def _scan(tokens: np.ndarray, separator: int) -> tuple[int, int, int, list[int]]:
@@ -99,23 +98,11 @@ def _scan(tokens: np.ndarray, separator: int) -> tuple[int, int, int, list[int]]
     return len(at), int(at[0]), len(tokens) - int(at[-1]) - 1, (np.diff(at) - 1).tolist()
 
 
-_SCANNED = "stream {0}, block int, ends int, head long, tail long, inner array<long>"
-
-
-def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> DataFrame:
-    """Each block alone: its separators, and the tokens around them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [_scan(np.frombuffer(x.as_buffer(), dtype), separator) for x in b.column("tokens")]
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([b.column("stream"), b.column("block"), *cols], ["stream", "block", "ends", "head", "tail", "inner"])
-
-    return blocks.select("stream", "block", "tokens").mapInArrow(run, _SCANNED.format(blocks.schema["stream"].dataType.simpleString()))
+_SCANNED = "stream string, block int, ends int, head long, tail long, inner array<long>"
 
 
 def scan_files(spark: SparkSession, path: str, separator: int = SEPARATOR, block: int = BLOCK, dtype: str = "<u2") -> DataFrame:
-    """Raw token files: the same as scan_blocks, a stream for each file (Spark reads a file of up to 2 GB as one row)."""
+    """Each block of the flat files alone: its separators, and the tokens around them; a stream for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.dtype(dtype).itemsize
@@ -129,7 +116,18 @@ def scan_files(spark: SparkSession, path: str, separator: int = SEPARATOR, block
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), *cols], ["stream", "block", "ends", "head", "tail", "inner"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _SCANNED.format("string"))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _SCANNED)
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stream, ordinal, doc_id) from the files of ids; the writer has ended each with two bytes."""
+    for b in batches:
+        for name, content in zip(b.column("path"), b.column("content"), strict=True):
+            ids = np.frombuffer(content.as_buffer(), "<i8", (content.as_buffer().size - 2) // 8)
+            for k in range(0, len(ids), 100_000):
+                part = ids[k : k + 100_000]
+                doc = pa.array(part, mask=part == NULL_ID)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part), pa.string()), pa.array(np.arange(k, k + len(part))), doc], ["path", "ordinal", "doc_id"])
 
 
 def stitched(scanned: DataFrame) -> DataFrame:
@@ -157,10 +155,14 @@ def stitched(scanned: DataFrame) -> DataFrame:
     )
 
 
-def token_counts(df: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_tokens, stream, ordinal): documents are tokenized into flat streams, and those are scanned."""
-    streams = written(token_streams(df, folder, vocabulary, block=block), "tokens")
-    before = Window.partitionBy("stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    names = streams.select("stream", "block", "ids").withColumn("first", F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)))
-    names = names.select("stream", "first", F.posexplode("ids").alias("k", "doc_id")).select("stream", (F.col("first") + F.col("k")).cast("long").alias("ordinal"), "doc_id")
-    return names.join(stitched(scan_blocks(streams)), ["stream", "ordinal"]).select("doc_id", "n_tokens", "stream", "ordinal")
+def token_counts(df: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, block: int = BLOCK, stream_bytes: int = STREAM_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, stream, ordinal): documents are tokenized into flat files, and those are scanned."""
+    spark = df.sparkSession
+    path = scratch(spark, "tokens")
+    write_streams(df, path, folder, vocabulary, stream_bytes=stream_bytes)
+    number = lambda c: F.regexp_extract(c, "/stream=([0-9]+)/", 1).cast("long").alias("stream")
+    if df.isEmpty():
+        return df.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "stream", "ordinal")]).limit(0)
+    names = spark.read.format("binaryFile").load(f"{path}/kind=ids").select("path", "content").mapInArrow(_named, "path string, ordinal long, doc_id long")
+    found = stitched(scan_files(spark, f"{path}/kind=tokens", block=block)).where("ended")
+    return names.select(number("path"), "ordinal", "doc_id").join(found.withColumn("stream", number("stream")), ["stream", "ordinal"]).select("doc_id", "n_tokens", "stream", "ordinal")

@@ -5,7 +5,7 @@ blank line that ends it, so archives can lie in any store that Spark can write t
 Bodies are framed by chunked transfer coding.  A block longer than ``segment_bytes`` is cut: the first segment is the
 record itself, the others are ``continuation`` records that name its id.
 
-Reading parses each archive by ``Content-Length``, checks block digests, groups segments by their origin's id (an
+An archive has at most ``FILE_RECORDS`` records, so a reader's memory is bounded by them.  Reading unzips and parses each archive record by record by ``Content-Length``, checks block digests, groups segments by their origin's id (an
 exchange by id, sorted by segment number, streamed), verifies that none is missing and that their lengths sum to
 ``WARC-Segment-Total-Length``, undoes the chunked framing, and verifies the payload's digest.  A record that fails
 raises ValueError.  Segments of one record may lie in different archives.
@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import scratch
+from helixframe.llm.common import scratch, written
 
 END = b"\r\n\r\n"
 SEGMENT_BYTES = 16 << 10
 CHUNK = 4 << 10
+#: Records of one archive, which is read as a whole.
+FILE_RECORDS = 4_000
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -93,7 +95,8 @@ def records(name: str, url: str | None, payload: bytes, refers_to: str | None, s
 def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Write pages (page_id, url, html) as archives under ``path``."""
     own = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    last = own.groupBy("digest").agg(F.max("page_id").alias("last"))
+    # written, so that the join below it reads two plain exchanges, and a payload that many pages share can be split
+    last = written(own.groupBy("digest").agg(F.max("page_id").alias("last")), "payloads")
     older = (F.octet_length("html") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("last"))
     rows = own.join(last, "digest").select("page_id", "url", "html", "digest", F.when(older, F.col("last")).alias("refers"), older.alias("older"))
 
@@ -113,26 +116,54 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, segment_by
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    rows.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    rows.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an archive."""
-    at, view = 0, memoryview(data)
+def pieces(data: bytes) -> Iterator[bytes]:
+    """An archive's bytes, unzipped a megabyte at a time; gzip with a member for the file or one for each record."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    unzip, at = zlib.decompressobj(31), 0
     while at < len(data):
-        head = data.find(END, at)
-        if head < 0:
+        part = unzip.unconsumed_tail or data[at : at + (1 << 20)]
+        if not unzip.unconsumed_tail:
+            at += len(part)
+        yield unzip.decompress(part, 1 << 20)
+        if unzip.eof:
+            at -= len(unzip.unused_data)
+            unzip = zlib.decompressobj(31)
+    while unzip.unconsumed_tail:
+        yield unzip.decompress(unzip.unconsumed_tail, 1 << 20)
+
+
+def parse(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record of an archive; one record is held at a time."""
+    held = b""
+    more = True
+    while held or more:
+        while more and (head := held.find(END)) < 0:
+            part = next(parts, None)
+            more, held = part is not None, held + (part or b"")
+        if not held:
+            return
+        if (head := held.find(END)) < 0:
             raise ValueError("an archive ends inside a record's header")
-        lines = data[at:head].decode().split("\r\n")
+        lines = held[:head].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        begin = head + 4
-        end = begin + int(fields["content-length"])
-        if end > len(data):
+        end = head + 4 + int(fields["content-length"])
+        rest = [held]
+        size = len(held)
+        while size < end + 4 and (part := next(parts, None)) is not None:
+            rest.append(part)
+            size += len(part)
+        held = b"".join(rest)
+        if end > len(held):
             raise ValueError("an archive ends inside a record's block")
-        yield fields, bytes(view[begin:end])
-        at = end + 4
+        yield fields, held[head + 4 : end]
+        held = held[end + 4 :]
 
 
 def payload_of(fields: dict[str, str], block: bytes) -> bytes:
@@ -153,15 +184,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
-                data = content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    unzip, data_out = zlib.decompressobj(31), []
-                    while data:  # also archives with a member for each record
-                        data_out.append(unzip.decompress(data))
-                        data, unzip = unzip.unused_data, zlib.decompressobj(31)
-                    data = b"".join(data_out)
                 rows, size = [], 0
-                for f, block in parse(data):
+                for f, block in parse(pieces(content.as_py())):
                     if (want := f.get("warc-block-digest")) and want != f"sha1:{base32_sha1(block)}":
                         raise ValueError(f"block digest of {f['warc-record-id']} is wrong")
                     total = f.get("warc-segment-total-length")

@@ -16,12 +16,12 @@ from helixframe.llm import token_counts as TC
 from helixframe.llm import warc
 from helixframe.llm.common import Words, grams
 from helixframe.llm.components import components
-from helixframe.llm.decontaminate import BlockIndex, contaminated, decontaminated
-from helixframe.llm.line_dedup import line_chunks, line_dedup, passage_dedup
+from helixframe.llm.decontaminate import RADIUS, BlockIndex, contaminated, decontaminated, simhash, simhashes, weighted_jaccard
+from helixframe.llm.line_dedup import full_lines, line_chunks, line_dedup
 from helixframe.llm.mixing import mix_sources, sainte_lague, water_fill
-from helixframe.llm.near_dedup import _forest, common_counts, list_rows, near_components
+from helixframe.llm.near_dedup import MATCHES, _forest, common_counts, list_rows, near_components, signatures
 from helixframe.llm.quality import classify, expectation_maximisation
-from helixframe.llm.sharding import hilbert_index, hilbert_shards
+from helixframe.llm.sharding import hilbert_index, hilbert_shards, write_shards
 from helixframe.llm.substring_dedup import anchors, substring_dedup
 from tests.llm import brute
 from tests.llm.conftest import make_docs, prose
@@ -176,6 +176,41 @@ def test_block_index_finds_all_within_the_radius():
     assert got == want
 
 
+def test_benchmark_in_blocks(spark, frame, monkeypatch):
+    from helixframe.llm import decontaminate as D
+
+    rng = random.Random(22)
+    items = [(k, prose(rng, 20 + k % 7)) for k in range(40)]
+    docs = [(k, prose(rng, 30) + " " + items[3 * k % 40][1], "s") for k in range(20)] + [(50, prose(rng, 60), "s")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = {(r.doc_id, r.item_id) for r in contaminated(frame(docs), benchmark).collect()}
+    monkeypatch.setattr(D, "BLOCK_BYTES", 1500)
+    assert len(list(D._blocks(benchmark))) > 3
+    assert {(r.doc_id, r.item_id) for r in contaminated(frame(docs), benchmark).collect()} == whole == set(brute.contaminated([(i, t) for i, t, _ in docs], items))
+    assert {r.doc_id for r in decontaminated(frame(docs), benchmark).collect()} == {50}
+
+
+@pytest.mark.parametrize(("shared", "weight"), [(112, 10), (160, 16), (400, 46), (40, 1)])
+def test_heavy_shingles_stay_within_the_radius(shared, weight):
+    """A repeated shingle makes up the whole difference; similarity is 0.8 or a little more."""
+    rng = np.random.default_rng(shared)
+    most = 0
+    for _ in range(200):
+        common, other = rng.integers(0, 1 << 63, shared, dtype=np.uint64), rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+        n = weight if weight > 1 else 1
+        a, b = (np.concatenate([common, np.full(n, x)]) for x in other)
+        assert weighted_jaccard(Counter(a.tolist()), Counter(b.tolist())) >= 0.8
+        most = max(most, int(np.bitwise_count(simhash(a) ^ simhash(b))))
+    assert most <= RADIUS
+
+
+def test_sliding_fingerprints():
+    rng = np.random.default_rng(5)
+    g = rng.integers(0, 30, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in (1, 7, 40, 400):
+        assert simhashes(g, k).tolist() == [int(simhash(g[i : i + k])) for i in range(len(g) - k + 1)]
+
+
 # ------------------------------------------------------------ 3 substrings
 
 
@@ -240,6 +275,23 @@ def test_mixing(frame, docs):
     assert mix_sources(frame(NO_ROWS)).count() == 0
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    """The way without lists on the driver gives the same mix."""
+    from helixframe.llm import mixing as M
+
+    rng = random.Random(23)
+    rows = [(k, prose(rng, rng.choice([0, 3, 40, 90, 400])), None if k % 50 == 0 else f"s{rng.randrange(30) ** 2 % 37}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    fields = ["row.doc_id", "size", "source_size", "target", "taken"]
+    here = {r.doc_id: r for r in mix_sources(df).select(*fields).collect()}
+    monkeypatch.setattr(M, "DRIVER_SOURCES", 3)
+    there = {r.doc_id: r for r in mix_sources(df).select(*fields).collect()}
+    assert set(here) == set(there) and len(here) == 400
+    for i, r in here.items():
+        assert (r["size"], r.source_size, r.taken) == (there[i]["size"], there[i].source_size, there[i].taken) and there[i].target == pytest.approx(r.target)
+    assert mix_sources(df.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------ 5 near copies
 
 
@@ -267,6 +319,23 @@ def test_near_dedup_of_a_large_group(frame):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(frame(rows)).collect()} == want
 
 
+def test_recall_at_the_border():
+    """Pairs of similarity 0.85 to 0.86 share enough coordinates, all but for chance."""
+    rng = np.random.default_rng(6)
+    missed = tried = 0
+    for _ in range(5000):
+        n = int(rng.integers(100, 400))
+        both = -(-85 * 2 * n // 185)  # the fewest common shingles of two sets of n
+        values = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)
+        a, b = np.sort(values[:n]), np.sort(values[n - both :])
+        if both / (2 * n - both) > 0.86:
+            continue
+        keys, _ = signatures(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+        tried += 1
+        missed += int((keys[0] == keys[1]).sum() < MATCHES)
+    assert missed == 0 and tried > 3000
+
+
 def test_common_counts():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 9000, n)) for n in (5, 700, 1200, 800)]
@@ -301,33 +370,6 @@ def test_components(spark):
 # ------------------------------------------------------------ 6 lines
 
 
-def test_line_dedup(frame):
-    rng = random.Random(8)
-    block = [prose(rng, 6) for _ in range(30)]
-    rows = [(k, "\n".join([prose(rng, 5) for _ in range(6)] + block[rng.randrange(3) :] + [prose(rng, 4) for _ in range(5)]), "s") for k in range(12)]
-    rows += [(20, rows[0][1], "s"), (20, rows[0][1], "s"), (21, None, "s"), (22, "", "s"), (23, "\n\n\n\n\n\n", "s"), (24, "\n\n\n\n\n\n", "s"), (None, rows[1][1], "s")]
-    first: dict = {}
-    place = lambda i, t, k: ((i is None, i or 0), sha256((t or "").encode()).hexdigest(), k)
-    cut = [(i, (t or "").encode(), line_chunks((t or "").encode())) for i, t, _ in rows]
-    for i, t, own in cut:
-        for k, (a, n, _, full) in enumerate(own):
-            if full >= 2:
-                key = t[a : a + n].removesuffix(b"\n")
-                here = place(i, t.decode(), k)
-                first[key] = min(first.get(key, here), here)
-    want = {}
-    for i, t, own in cut:
-        assert b"".join(t[a : a + n] for a, n, _, _ in own) == t
-        gone = {k for k, (a, n, _, full) in enumerate(own) if full >= 2 and first[t[a : a + n].removesuffix(b"\n")] < place(i, t.decode(), k)}
-        kept = b"".join(t[a : a + n] for k, (a, n, _, _) in enumerate(own) if k not in gone)
-        kept = kept.removesuffix(b"\n") if len(own) - 1 in gone else kept
-        want[i] = (sum(m for _, _, m, _ in own), sum(own[k][2] for k in gone), sha256(kept).hexdigest())
-    got = line_dedup(frame(rows)).collect()
-    assert len(got) == len(rows) and {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in got} == want
-    assert sum(n > 12 for _, n, _ in want.values()) >= 10
-    assert line_dedup(frame(NO_ROWS)).count() == 0
-
-
 def _plain_passages(rows) -> dict:
     """Kept lines of each id, by all windows of two lines that aren't blank; ids stand for one text each."""
     texts = {(i is None, i or 0): (t or "").split("\n") for i, t, _ in rows}
@@ -342,7 +384,7 @@ def _plain_passages(rows) -> dict:
 
 
 def _check_passages(frame, rows) -> dict:
-    got = passage_dedup(frame(rows), keep_text=True).collect()
+    got = line_dedup(frame(rows), keep_text=True).collect()
     want = _plain_passages(rows)
     whole = {i: t or "" for i, t, _ in rows}
     assert len(got) == len(rows)
@@ -364,7 +406,7 @@ def test_repeated_passages_go_whole(frame):
     removed = _check_passages(frame, rows)
     assert all(removed[k] == (len(passages[k % 5]) if k >= 5 else 0) for k in range(40))
     assert removed[50] == rows[0][1].count("\n") + 1 and removed[54] == removed[55] == 0
-    assert passage_dedup(frame(NO_ROWS)).count() == 0
+    assert line_dedup(frame(NO_ROWS)).count() == 0
 
 
 def test_runs_of_equal_lines(frame):
@@ -374,14 +416,30 @@ def test_runs_of_equal_lines(frame):
     got = _check_passages(frame, rows)
     # the first document of a run keeps one line, the others none
     assert all(n == 12 + k % 2 - (k % 8 == 0) for k, n in got.items())
-    chunked = {r.doc_id: r.n_removed for r in line_dedup(frame(rows)).collect()}
-    assert all(n >= 9 for n in chunked.values())
 
 
 def test_boundaries_resist_shifts():
     lines = [f"line {k}".encode() for k in range(200)]
-    one, two = ({text[a : a + n] for a, n, _, _ in line_chunks(text)} for text in (b"\n".join(lines), b"\n".join([b"new"] + lines)))
-    assert len(one & two) > 0.9 * len(one)
+    cut = []
+    for text in (b"\n".join(lines), b"\n".join([b"new", b"", *lines]), b"\n".join([*lines[:90], b"new", *lines[90:]])):
+        full = full_lines(text)
+        own = line_chunks(text, full)
+        assert [k for a, z in own for k in range(a, z)] == list(range(len(full))) and all(z - a >= 2 for a, z in own[:-1])
+        cut.append({text[full[a][0] : full[z - 1][1]] for a, z in own})
+    assert all(len(cut[0] & x) > 0.9 * len(cut[0]) for x in cut[1:])
+
+
+def test_long_copies_are_found_by_chunks(spark, monkeypatch):
+    """A copied document of n lines posts its chunks and, at their rims alone, windows of lines."""
+    from helixframe.llm import line_dedup as L
+
+    rng = random.Random(15)
+    text = "\n".join(prose(rng, 6, 5000) for _ in range(300))
+    posted = []
+    later = L._later
+    monkeypatch.setattr(L, "_later", lambda each, name: posted.append(each.where("id = 2").count()) or later(each, name))
+    got = {r.doc_id: r.n_removed for r in L.line_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 300} and posted[0] + posted[1] < 200
 
 
 # ------------------------------------------------------------ 7 exact copies
@@ -523,17 +581,110 @@ def test_sharding(frame, docs):
     assert hilbert_shards(frame(NO_ROWS)).count() == 0
 
 
+def _plain_places(rows, bits: int) -> dict[int, int]:
+    """doc_id -> place on the curve: cells by exact quantiles, the curve walked cell by cell; equal texts share the cell of the smallest id."""
+    walk = {p: k for k, p in enumerate(_curve(bits))}
+    values = {d: [r[d] for r in rows] for d in (2, 3)}
+    cuts = [len(rows) * c / (1 << bits) for c in range(1, 1 << bits)]
+    edges = {d: {min((v for v in own if below(own, v) >= cut), default=None) for cut in cuts} - {None} for d, own in values.items()}
+    first: dict = {}
+    for r in sorted(rows):
+        first.setdefault(r[1], r)
+    return {r[0]: walk[tuple(sum(first[r[1]][d] >= e for e in edges[d]) for d in (2, 3))] for r in rows}
+
+
+def below(own: list, v) -> int:
+    return sum(x < v for x in own)
+
+
+def _curve(bits: int) -> list[tuple[int, int]]:
+    """Cells of the two-dimensional curve in order, by its rule of four copies."""
+    cells = [(0, 0)]
+    for b in range(bits):
+        n = 1 << b
+        cells = [(y, x) for x, y in cells] + [(x, y + n) for x, y in cells] + [(x + n, y + n) for x, y in cells] + [(2 * n - 1 - y, n - 1 - x) for x, y in cells]
+    return cells
+
+
+def test_sharding_by_plain_sorting(spark):
+    """Quantile cells and the curve by other means."""
+    rng = random.Random(24)
+    rows = [(k, f"t{rng.randrange(250)}", f"dataset_{rng.randrange(40):02d}", rng.randrange(5000)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, weight long")
+    got = hilbert_shards(df, dims=("source", "weight"), bits=3).select("row.doc_id", "row.text", "curve", "shard", "slot").collect()
+    line = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in line] == sorted(r.curve for r in got) and Counter(r.shard for r in got) == {k: 37 + (k < 4) for k in range(8)}
+    plain = _plain_places(rows, 3)
+    grid = hilbert_index([np.array(x) for x in zip(*_curve(3), strict=True)], 3).tolist()
+    assert {r.doc_id: r.curve for r in got} == {i: grid[k] for i, k in plain.items()}
+    again = hilbert_shards(df.repartition(7), dims=("source", "weight"), bits=3).select("row.doc_id", "row.text", "curve", "shard", "slot").collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_files_are_pruned_in_all_dimensions(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(25)
+    rows = [(k, f"text {k}", f"https://site{rng.randrange(64):02d}", rng.randrange(10_000)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, weight long")
+    write_shards(hilbert_shards(df, dims=("source", "weight")), str(tmp_path / "curve"), 100)
+    df.orderBy("source").coalesce(1).write.option("maxRecordsPerFile", 100).parquet(str(tmp_path / "plain"))
+
+    def touched(folder, column, low, high) -> float:
+        files, hit = [*folder.rglob("*.parquet")], 0
+        for f in files:
+            meta = pq.read_metadata(f)
+            at = next(k for k in range(meta.num_columns) if meta.schema.column(k).name == column)
+            own = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+            hit += any(s.min <= high and s.max >= low for s in own)
+        return hit / len(files)
+
+    assert spark.read.parquet(str(tmp_path / "curve")).drop("curve_shard").exceptAll(df).isEmpty()
+    assert touched(tmp_path / "plain", "weight", 1000, 1500) > 0.9
+    assert touched(tmp_path / "curve", "weight", 1000, 1500) < 0.4 and touched(tmp_path / "curve", "source", "https://site10", "https://site12") < 0.4
+
+
 # ------------------------------------------------------------ 10 token counts
 
 
-def test_token_counts(frame, docs):
-    enc = TC.encoder()
-    got = TC.token_counts(frame(docs), block=64).collect()
-    want = Counter((i, len(enc.encode_ordinary(t or ""))) for i, t, _ in docs)
+def _plain_tokens(data: bytes, ranks: dict[bytes, int]) -> int:
+    """Tokens of one piece by the rule of the vocabulary: join the neighbours of the lowest rank until none is known."""
+    parts = [data[k : k + 1] for k in range(len(data))]
+    while len(parts) > 1:
+        rank, at = min(((ranks.get(a + b, 1 << 30), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
+        if rank == 1 << 30:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return len(parts)
+
+
+@pytest.mark.parametrize("size", [(64, 1 << 20, 16 << 20), (7, 300, 2000)])
+def test_token_counts(frame, docs, monkeypatch, size):
+    import base64
+
+    import regex
+
+    block, piece, stream = size
+    monkeypatch.setattr(TC, "PIECE_BYTES", piece)
+    with open(f"{TC.TOKENIZERS}/{TC.VOCABULARY}", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    cut = regex.compile(TC.encoder()._pat_str)
+    got = TC.token_counts(frame(docs), block=block, stream_bytes=stream).collect()
+    want = Counter((i, sum(_plain_tokens(x.encode(), ranks) for x in cut.findall(t or ""))) for i, t, _ in docs)
     assert Counter((r.doc_id, r.n_tokens) for r in got) == want
     assert TC.token_counts(frame(NO_ROWS)).count() == 0
 
 
+def test_flat_files_have_tokens_and_separators_alone(spark, tmp_path):
+    texts = ["one two", None, "", "three \u00c4 four"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    TC.write_streams(df, str(tmp_path / "t"))
+    (file,) = [f for f in (tmp_path / "t" / "kind=tokens").rglob("part-*")]
+    enc = TC.encoder()
+    want = [x for t in texts for x in [*enc.encode_ordinary(t or ""), TC.SEPARATOR]]
+    assert np.frombuffer(file.read_bytes(), "<u2").tolist() == want
+
+
 @pytest.mark.parametrize("block", [1, 3, 7, 1000])
 def test_raw_files(spark, tmp_path, block):
     rng = random.Random(block)
