@@ -50,9 +50,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot along the Hilbert curve."""
-    out = hilbert_shards(docs)
-    return out.select("row.*", *[c for c in ("size", "text_crc32", "shard", "slot") if c not in docs.columns])
+    """Documents with their size, text_crc32, shard and slot along the Hilbert curve; columns of documents that have these names go on as ``<name>_before``."""
+    own = ("size", "text_crc32", "shard", "slot")
+    kept = [F.col("row")[c].alias(f"{c}_before" if c in own else c) for c in docs.columns]
+    return hilbert_shards(docs).select(*kept, *own)
 
 
 STAGES = [
