@@ -6,12 +6,7 @@ objects).  A *word* is a maximal run of bytes other than space and ``\\t \\n \\v
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator, Sequence
-from functools import cache
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +14,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.sources.store import numbered, scratch, written
+
+__all__ = ["numbered", "scratch", "written"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null id inside operators: it sorts after every real id.
 NULL_ID = (1 << 63) - 1
@@ -30,43 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names; without one, a folder of this machine, on a local master only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@cache
-def _own_folder(spark: SparkSession) -> str:
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="scratch-")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that lost executors cost nothing already done."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_LOW33 = (1 << 33) - 1
-
-
-def numbered(df: DataFrame, keys: Sequence[Column], name: str, rank: str = "rank") -> tuple[DataFrame, int]:
-    """``df``, written in the order of the keys, with each row's place from 0; and the number of rows.
-
-    A range exchange, and offsets from the row counts of its parts: no task sees more than its part.
-    """
-    line = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("__at", 33)
-    counts = sorted((r[0], r[1]) for r in line.groupBy(part.alias("part")).count().collect())  # one number for each part
-    begins = accumulate([0, *[n for _, n in counts]])
-    offsets = df.sparkSession.createDataFrame([(int(p), int(o)) for (p, _), o in zip(counts, begins, strict=False)], "__part long, __offset long")
-    out = line.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return out.withColumn(rank, F.col("__offset") + F.col("__at").bitwiseAND(F.lit(_LOW33))).drop("__part", "__offset", "__at"), sum(n for _, n in counts)
-
-
 def word_count(text: Column) -> Column:
     """Words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
