@@ -59,9 +59,10 @@ def main(argv: list[str]) -> int:
         return 0
     if found.mode == "api":
         from helixframe.api.server import Active, serve
+        from helixframe.sources.store import Folder
 
-        latest = latest_state(Path(found.data_directory))
-        active, stop = Active(Database(str(latest.path), spark) if latest else None), threading.Event()
+        latest = latest_state(Folder(spark, found.data_directory))
+        active, stop = Active(Database(latest.path.path, spark) if latest else None), threading.Event()
         serve(active, int(found.port))
         active.watch(found.data_directory, spark, stop)
         return 0

@@ -9,14 +9,19 @@ import io
 import json
 import threading
 import uuid
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from pathlib import Path
+
+from itertools import chain
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from helixframe.catalog.database import Database, latest_state
 from helixframe.errors import IllegalQuery, NotLoaded
 from helixframe.sources.ndjson import to_json_lines
+from helixframe.sources.store import Folder
 
 ARROW = "application/vnd.apache.arrow.stream"
 #: Seconds that a query may take, and between two looks for a newer state.
@@ -41,9 +46,13 @@ class Active:
     def watch(self, root: str, spark, stop: threading.Event) -> None:
         """Load newer states of a directory until stopped."""
         while not stop.wait(POLL):
-            found = latest_state(Path(root))
-            if found and (self._database is None or found.timestamp > self._database.version):
-                self.set(Database(str(found.path), spark))
+            self.reload(root, spark)
+
+    def reload(self, root: str, spark) -> None:
+        """Load the newest state of a directory, if it is newer than what there is."""
+        found = latest_state(Folder(spark, root))
+        if found and (self._database is None or found.timestamp > self._database.version):
+            self.set(Database(found.path.path, spark))
 
 
 class Handler(BaseHTTPRequestHandler):
@@ -64,6 +73,24 @@ class Handler(BaseHTTPRequestHandler):
         if self.command != "HEAD":
             self.wfile.write(body)
 
+    def _stream(self, pieces: Iterator[bytes], kind: str, **headers: str) -> None:
+        """A body of unknown length, a piece at a time; what fails before the first piece is still told as an error."""
+        first = next(pieces, b"")
+        self.send_response(200)
+        self.send_header("Content-Type", kind)
+        self.send_header("Transfer-Encoding", "chunked")
+        self.send_header("X-Request-Id", self.headers.get("X-Request-Id") or str(uuid.uuid4()))
+        for name, value in headers.items():
+            self.send_header(name.replace("_", "-"), value)
+        self.end_headers()
+        try:
+            for piece in chain([first], pieces):
+                if piece:
+                    self.wfile.write(b"%x\r\n%b\r\n" % (len(piece), piece))
+            self.wfile.write(b"0\r\n\r\n")
+        except Exception:  # too late for a status: the client sees that the body breaks off
+            self.close_connection = True
+
     def _error(self, status: int, title: str, message: str, **headers: str) -> None:
         self._send(status, json.dumps({"error": title, "message": message}).encode(), "application/json", **headers)
 
@@ -108,18 +135,47 @@ class Handler(BaseHTTPRequestHandler):
         try:
             df = relation.result()
             if self.headers.get("Accept") == ARROW:
-                out = io.BytesIO()
-                table = df.toArrow()
-                with pa.ipc.new_stream(out, table.schema) as sink:
-                    sink.write_table(table)
-                return self._send(200, out.getvalue(), ARROW, **more)
-            lines = "".join(r[0] + "\n" for r in to_json_lines(df).toLocalIterator())
-            return self._send(200, lines.encode(), "application/x-ndjson", **more)
+                return self._stream(arrow_stream(df), ARROW, **more)
+            return self._stream(json_stream(df), "application/x-ndjson", **more)
         finally:
             timer.cancel()
             spark.removeTag(tag)
 
 
+def json_stream(df: DataFrame) -> Iterator[bytes]:
+    """Lines of JSON, a few thousand at a time; the driver holds one partition of the result."""
+    held: list[str] = []
+    for r in to_json_lines(df).toLocalIterator():
+        held.append(r[0])
+        if len(held) == 4096:
+            yield ("\n".join(held) + "\n").encode()
+            held = []
+    if held:
+        yield ("\n".join(held) + "\n").encode()
+
+
+def arrow_stream(df: DataFrame) -> Iterator[bytes]:
+    """The Arrow stream format: batches are packed where they are computed, and passed on one by one."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema) as sink:
+                sink.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["packed"])
+
+    schema = to_arrow_schema(df.schema)
+    out = io.BytesIO()
+    sink = pa.ipc.new_stream(out, schema)
+    for r in df.mapInArrow(pack, "packed binary").toLocalIterator():
+        sink.write_table(pa.ipc.open_stream(r[0]).read_all().cast(schema))
+        yield out.getvalue()
+        out.seek(0)
+        out.truncate()
+    sink.close()
+    yield out.getvalue()
+
+
 def serve(active: Active, port: int = 8081, host: str = "") -> ThreadingHTTPServer:
     """A server on its own thread; ``shutdown()`` ends it."""
     server = ThreadingHTTPServer((host, port), type("Bound", (Handler,), {"active": active}))

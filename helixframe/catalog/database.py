@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -24,6 +25,7 @@ from helixframe.plans.binder import Binder
 from helixframe.plans.relation import ROW, SPARK_TYPES, Field, Relation, quoted
 from helixframe.sources import ndjson
 from helixframe.sources.config import Config, References, read_reference, table_fields
+from helixframe.sources.store import Folder, written
 
 VERSION = "0.1.0"
 #: States of another format are never loaded.
@@ -33,7 +35,7 @@ DEFAULT = "default"
 
 @dataclass(frozen=True)
 class State:
-    path: Path
+    path: Folder
     timestamp: int
 
 
@@ -46,7 +48,7 @@ class Database:
         self.tables: dict[str, Table] = {}
         self.version = int(time.time())
         if path is not None:
-            self._load(Path(path))
+            self._load(Folder(self.spark, path))
 
     # ------------------------------------------------------------ tables
 
@@ -130,15 +132,26 @@ class Database:
         require(name in self.tables, f"table '{name}' not found in database", InputError)
         return self.tables[name]
 
-    def append(self, name: str, df: DataFrame) -> None:
-        """Add typed rows (as ``ndjson.parsed`` gives them) to a table."""
+    def append(self, name: str, df: DataFrame, cluster: str | None = None, parts: int = 0, order: Sequence[str] = ()) -> None:
+        """Add typed rows (as ``ndjson.parsed`` gives them) to a table: they are checked and written once, and then part of it, or not at all.
+
+        With ``cluster`` rows are laid out by the covered range of that sequence, in ``parts`` parts (0: as many as Spark chooses); ``order`` names columns, such as a
+        date, by which the rows of a part are sorted.  Readers skip row groups by either.
+        """
         own = self._table(name)
+        if cluster:
+            df = self._clustered(own, df, cluster, parts, order)
+        elif order:
+            df = df.sortWithinPartitions(*map(quoted, order))
         for column, tree in own.trees.items():
             df = tables.with_tree_numbers(df, column, tree)
-        if ROW not in own.df.columns:
-            own.df = with_rows(own.df)
+        numbered = ROW in own.df.columns
+        for column, tree in own.trees.items():
+            own.df = tables.with_tree_numbers(own.df, column, tree)
+        if not numbered:
+            own.df = written(with_rows(own.df), name)
         last = own.df.agg(F.max(ROW)).first()[0]
-        df = with_rows(df, 0 if last is None else last + 1)
+        df = written(with_rows(df, 0 if last is None else last + 1), name)
         for column, tree in own.lineages.items():
             if column not in own.lenient_lineages:
                 tables.check_lineages(df, column, tree)
@@ -148,26 +161,32 @@ class Database:
         own.df = merged
         self.version = max(self.version + 1, int(time.time()))
 
-    def append_data_from_file(self, table_name: str, file_name: str) -> None:
+    def append_data_from_file(self, table_name: str, file_name: str, **layout) -> None:
         own = self._table(table_name)
-        self.append(table_name, ndjson.read(self.spark, file_name, own.fields, own.references))
+        self.append(table_name, ndjson.read(self.spark, file_name, own.fields, own.references), **layout)
 
-    def append_data_from_string(self, table_name: str, json_string: str) -> None:
+    def append_data_from_string(self, table_name: str, json_string: str, **layout) -> None:
         if not json_string or not json_string.strip():
             raise ValueError("json_string cannot be empty")
         own = self._table(table_name)
         text = self.spark.createDataFrame([(x,) for x in json_string.split("\n") if x.strip()], "value string").coalesce(1)
-        self.append(table_name, ndjson.parsed(text, own.fields, own.references, '"sequenceCompressed"' in json_string))
+        self.append(table_name, ndjson.parsed(text, own.fields, own.references, '"sequenceCompressed"' in json_string), **layout)
 
-    def clustered(self, name: str, sequence: str, parts: int) -> DataFrame:
-        """A table's rows laid out by the covered range of a sequence, so that row groups can be skipped by it."""
-        own = self._table(name)
+    @staticmethod
+    def _clustered(own: Table, df: DataFrame, sequence: str, parts: int, order: Sequence[str] = ()) -> DataFrame:
         missing = own.alphabet_of(sequence).missing
         c = F.col(quoted(sequence))
         first = F.length(c) - F.length(F.ltrim(c, F.lit(missing)))
         last = F.length(F.rtrim(c, F.lit(missing)))
-        df = own.df.withColumns({"__from": first, "__to": last})
-        return df.repartitionByRange(parts, "__from", "__to").sortWithinPartitions("__from", "__to")
+        keys = ["__from", "__to"]
+        df = df.withColumns({"__from": first, "__to": last})
+        df = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+        return df.sortWithinPartitions(*keys, *map(quoted, order)).drop(*keys)
+
+    def clustered(self, name: str, sequence: str, parts: int) -> DataFrame:
+        """A table's rows laid out by the covered range of a sequence, so that row groups can be skipped by it."""
+        own = self._table(name)
+        return self._clustered(own, own.df, sequence, parts)
 
     def update_column(self, table_name: str, column_name: str, value: str, filter_expression: str = "") -> None:
         """Set one literal (or null) for the rows that a filter selects."""
@@ -240,17 +259,16 @@ class Database:
 
     # ------------------------------------------------------------ states
 
-    def save_checkpoint(self, save_directory: str) -> Path:
-        """Write ``<directory>/<timestamp>/``: Parquet for each table, the schema, and the data version last."""
+    def save_checkpoint(self, save_directory: str) -> Folder:
+        """Write ``<directory>/<timestamp>/``, in any store: Parquet for each table, the schema, and the data version last."""
         if not save_directory or not save_directory.strip():
             raise ValueError("save_directory cannot be empty")
-        root = Path(save_directory)
+        root = Folder(self.spark, save_directory)
         stamp = max([self.version, int(time.time()), *[s.timestamp + 1 for s in states(root)]])
         path = root / str(stamp)
-        path.mkdir(parents=True)
         schema = {}
         for name, own in self.tables.items():
-            own.df.write.option("compression", "zstd").parquet(str(path / "tables" / name))
+            own.df.write.option("compression", "zstd").parquet((path / "tables" / name).path)
             schema[name] = {
                 "fields": [[f.name, f.kind] for f in own.fields], "primaryKey": own.primary_key, "references": own.references, "lineages": own.lineage_texts,
                 "lenient": sorted(own.lenient_lineages), "trees": {c: [t.names, t.parent, t.length] for c, t in own.trees.items()},
@@ -259,15 +277,15 @@ class Database:
         (path / "data_version.yaml").write_text(f"timestamp: {stamp}\nserializationVersion: {FORMAT}\n")
         return path
 
-    def _load(self, path: Path) -> None:
+    def _load(self, path: Folder) -> None:
         if not path.exists():
-            raise FileNotFoundError(f"Database file not found: {path}")
+            raise FileNotFoundError(f"Database file not found: {path.path}")
         found = state_of(path) or latest_state(path)
         if found is None:
-            raise RuntimeError(f"Failed to load database from '{path}'")
+            raise RuntimeError(f"Failed to load database from '{path.path}'")
         self.version = found.timestamp
         for name, s in json.loads((found.path / "schema.json").read_text()).items():
-            df = self.spark.read.parquet(str(found.path / "tables" / name))
+            df = self.spark.read.parquet((found.path / "tables" / name).path)
             trees = {c: Tree(*t) for c, t in s["trees"].items()}
             lineages = {c: LineageTree.from_yaml(t) for c, t in s["lineages"].items()}
             self.tables[name] = Table(name, df, [Field(*f) for f in s["fields"]], s["primaryKey"], s["references"], lineages, s["lineages"], trees, set(s["lenient"]))
@@ -282,20 +300,19 @@ class Database:
         return False
 
 
-def state_of(path: Path) -> State | None:
-    """A saved state of this format, if the directory is one: its name is its timestamp."""
-    file = path / "data_version.yaml"
-    if not path.is_dir() or not re.fullmatch("[0-9]+", path.name) or not file.is_file():
+def state_of(path: Folder) -> State | None:
+    """A saved state of this format, if the folder is one: its name is its timestamp."""
+    if not re.fullmatch("[0-9]+", path.name) or "data_version.yaml" not in path.names():
         return None
-    own = dict(m.groups() for m in re.finditer(r"(?m)^(\w+):\s*(\S+)\s*$", file.read_text()))
+    own = dict(m.groups() for m in re.finditer(r"(?m)^(\w+):\s*(\S+)\s*$", (path / "data_version.yaml").read_text()))
     if own.get("timestamp") != path.name or own.get("serializationVersion") != str(FORMAT):
         return None
     return State(path, int(path.name))
 
 
-def states(root: Path) -> list[State]:
-    return sorted(filter(None, map(state_of, root.iterdir())), key=lambda s: -s.timestamp) if root.is_dir() else []
+def states(root: Folder) -> list[State]:
+    return sorted(filter(None, (state_of(root / n) for n in root.names())), key=lambda s: -s.timestamp)
 
 
-def latest_state(root: Path) -> State | None:
+def latest_state(root: Folder) -> State | None:
     return next(iter(states(root)), None)

@@ -1,7 +1,8 @@
 """A table: a DataFrame with typed columns, reference sequences, lineages and trees.
 
 Hidden columns ride beside the shown ones: ``__row``, the place of ingestion; ``<sequence>__ins``, the insertions; and ``<column>__pre`` and ``<column>__leaf``, the
-number of the tree node (of the leaf) that a label names, null where there is none, so that a clade is an interval.
+number of the tree node (of the leaf) that a label names, null where there is none, so that a clade is an interval.  Rows are numbered when they are ingested; a DataFrame
+that is registered gets tree numbers in the operators that need them, and no scan pays for them otherwise.
 """
 
 from __future__ import annotations
@@ -35,9 +36,6 @@ class Table:
 
     def __post_init__(self) -> None:
         self.fields = sorted(self.fields, key=lambda f: f.name)
-        for column, tree in self.trees.items():
-            if pre(column) not in self.df.columns:
-                self.df = with_tree_numbers(self.df, column, tree)
 
     def kind_of(self, name: str) -> str | None:
         return next((f.kind for f in self.fields if f.name == name), None)
@@ -66,6 +64,8 @@ def leaf(column: str) -> str:
 
 
 def with_tree_numbers(df: DataFrame, column: str, tree: Tree) -> DataFrame:
+    if pre(column) in df.columns:
+        return df
     rows = [(n, k, k if tree.is_leaf(k) else None) for n, k in tree.number.items()]
     labels = df.sparkSession.createDataFrame(rows, f"__label string, {quoted(pre(column))} int, {quoted(leaf(column))} int")
     if len(tree.names) <= BROADCAST_LABELS:

@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from helixframe.catalog.table import Table, insertions, leaf
 from helixframe.errors import IllegalQuery, require
@@ -24,6 +23,7 @@ from helixframe.lang.tree import Binary, Call, Literal, Name, Node, Not, Record,
 from helixframe.operators import phylogeny, sequences
 from helixframe.plans import predicates as P
 from helixframe.plans.relation import ROW, Field, Order, Relation, quoted
+from helixframe.sources.store import numbered
 
 _MISSING_COLUMN = "The database does not contain the column '{}'"
 _FLIPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
@@ -158,7 +158,8 @@ class Binder:
         seed = A.int_of(args["seed"], "uint32") if "seed" in args else time.time_ns() & 0xFFFFFFFF
         if rel.order:  # the order so far decides a row's ordinal
             by = [F.col(quoted(o.name)).asc_nulls_first() if o.ascending else F.col(quoted(o.name)).desc_nulls_last() for o in rel.order]
-            place_ = F.row_number().over(Window.orderBy(*by)).cast("long") - 1
+            rel = rel.but(df=numbered(rel.df, by, "ordinals", "__place")[0])
+            place_ = F.col("__place")
         elif ROW in rel.hidden:
             place_ = F.col(ROW)
         else:
@@ -451,12 +452,14 @@ class Binder:
         f = self._field(name, rel)
         tree = next((t.trees[name] for t in ([rel.scan] if rel.scan else self.tables.values()) if name in t.trees), None)
         require(f.kind in ("STRING", "DICTIONARY_ENCODED"), f"The column '{name}' is not of type string")
-        require(tree and leaf(name) in rel.df.columns, f"Phylotree filter cannot be called on Column '{name}' as it does not have a phylogenetic tree associated with it")
+        require(tree, f"Phylotree filter cannot be called on Column '{name}' as it does not have a phylogenetic tree associated with it")
         require(node in tree.number, f"The node '{node}' does not exist in the phylogenetic tree of column '{name}'")
         k = tree.number[node]
         if tree.is_leaf(k):
             return P.Constant(False)
-        return P.Between(leaf(name), k, tree.last[k])
+        if leaf(name) in rel.df.columns:
+            return P.Between(leaf(name), k, tree.last[k])
+        return P.In(name, frozenset(tree.names[x] for x in range(k, tree.last[k] + 1) if tree.is_leaf(x)))
 
     def _position(self, node: Node) -> int:
         position = A.int_of(node, "uint32")

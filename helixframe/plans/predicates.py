@@ -263,7 +263,9 @@ class Profile(Predicate):
             return F.lit(0)
         if len(self.profile) <= NATIVE_PROFILE:
             every = frozenset(self.alphabet.symbols)
-            return F.expr(" + ".join(f"CAST({symbol_text(self.name, k + 1, every - self.alphabet.may_be[s])} AS INT)" for k, s in told))
+            # bound to a lambda's variable, so that a computed sequence is made once a row and not once a symbol
+            tests = " + ".join(f"CAST({symbol_text('x', k + 1, every - self.alphabet.may_be[s])} AS INT)" for k, s in told)
+            return F.expr(f"transform(array({quoted(self.name)}), x -> {tests})[0]")
         return profile_distance(self.profile, self.alphabet)(c)
 
 
@@ -275,15 +277,21 @@ def profile_distance(profile: str, alphabet: Alphabet):
     @F.pandas_udf("int")
     def distance(texts: pd.Series) -> pd.Series:
         own = np.frombuffer(profile.encode(), np.uint8)
-        differs = np.zeros((256, 256), bool)
-        for p in kinds:
-            if p != missing:
-                differs[ord(p)] = True
-                differs[ord(p), [ord(x) for x in may_be[p]]] = False
-        rows = own.astype(np.int64) << 8
-        flat = differs.reshape(-1)
-        count = [None if t is None else int(np.count_nonzero(flat[rows + np.frombuffer(t.encode(), np.uint8)])) for t in texts]
-        return pd.Series(count, dtype="Int32")
+        out = pd.Series([None] * len(texts), dtype="Int32")
+        some = np.flatnonzero(texts.notna())
+        step = max(1, (8 << 20) // len(own))  # texts of one matrix
+        for k in range(0, len(some), step):
+            part = texts.iloc[some[k : k + step]]
+            grid = np.frombuffer("".join(part).encode(), np.uint8).reshape(len(part), len(own))
+            wrong = np.zeros(len(part), np.int32)
+            for p in kinds:
+                if p != missing:
+                    fits = np.zeros(256, bool)
+                    fits[[ord(x) for x in may_be[p]]] = True
+                    columns = np.flatnonzero(own == ord(p))
+                    wrong += len(columns) - np.count_nonzero(fits[grid[:, columns]], axis=1).astype(np.int32)
+            out.iloc[some[k : k + step]] = wrong
+        return out
 
     return distance
 

@@ -27,7 +27,8 @@ _DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a file as ``value``; ``<path>.zst`` and ``<path>.xz`` are taken where they exist.
 
-    gzip, bzip2 and plain files are read by Spark itself; zstd and xz are opened on the executors, a file a task.
+    gzip, bzip2 and plain files are read by Spark itself; zstd and xz are opened on the executors, a file a task, line by line.  Such a file, or
+    any in a folder of that name, may have up to 2 GB packed.
     """
     if "://" not in path:
         path = next((p for p in (path + ".zst", path + ".xz") if os.path.exists(p)), path)
@@ -41,9 +42,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
         import zstandard
 
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                raw = io.BytesIO(content)
-                stream = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) if name.endswith(".zst") else lzma.LZMAFile(raw)
+            for content in b.column("content").to_pylist():
+                if content[:4] == zstandard.FRAME_HEADER:
+                    stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
+                else:
+                    stream = lzma.LZMAFile(io.BytesIO(content.rstrip(b"\0")))  # streams may be padded
                 held = []
                 for line in io.TextIOWrapper(stream, "utf-8", newline="\n"):
                     if line.strip():
@@ -54,7 +57,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(held)], ["value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, "value string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "value string")
 
 
 def _fail(message: Column) -> Column:

@@ -19,6 +19,7 @@ from helixframe.catalog.database import DEFAULT, FORMAT, Database, latest_state
 from helixframe.catalog.table import check_primary_key
 from helixframe.functions.trees import Tree
 from helixframe.sources import ndjson
+from helixframe.sources.store import Folder
 from helixframe.streaming.append import counts_by_window, stream_append
 from tests.fixture import CONFIG, LINEAGES, REFERENCES, TREE, answer, build, rows
 
@@ -69,10 +70,10 @@ def test_compressed_sequences(simple):
     ],
 )
 def test_wrong_rows_fail(simple, text, message):
-    simple.append_data_from_string("reads", text)
+    simple.append_data_from_string("reads", line("first"))
     with pytest.raises(Exception, match=message):
-        simple.query("reads").collect()
-        simple.tables["reads"].df.collect()
+        simple.append_data_from_string("reads", text + "\n" + line("last"))
+    assert answer(simple, "reads.project({key})") == [{"key": "first"}]
 
 
 @pytest.mark.parametrize(("field", "value"), [("dep", 3_000_000_000), ("seen", "2021-02-30"), ("seen", "2021-2-3"), ("dep", "x"), ("checked", 1)])
@@ -127,12 +128,13 @@ def test_save_and_load(spark, tmp_path):
     assert answer(again, "default.filter(specimenId.phyloDescendantOf('west')).groupBy({n:=count()})") == [{"n": 3}]
     assert again.lineage_definition("clade") == LINEAGES
     second = again.save_checkpoint(str(tmp_path))
-    assert latest_state(tmp_path).path == second and second != first
+    latest = lambda: latest_state(Folder(spark, str(tmp_path))).path.path
+    assert latest() == second.path != first.path
     (second / "data_version.yaml").write_text(f"timestamp: {second.name}\nserializationVersion: {FORMAT + 1}\n")
-    assert latest_state(tmp_path).path == first
+    assert latest() == first.path
     (tmp_path / "1235").mkdir()
     (tmp_path / "1235" / "data_version.yaml").write_text("- x")
-    assert latest_state(tmp_path).path == first
+    assert latest() == first.path
     with pytest.raises(FileNotFoundError):
         Database(str(tmp_path / "none"), spark)
 
@@ -152,6 +154,24 @@ def test_filters_reach_the_reader(spark, tmp_path):
 def test_clustering(spark):
     db = build(spark)
     assert db.clustered(DEFAULT, "hull", 2).count() == 5
+    db = Database(spark=spark)
+    db.create_nucleotide_sequence_table("reads", "key", "s", "ACGTACGT", ["place"])
+    text = "\n".join(line(f"k{k:02d}", seq("AC", k % 7), "x") for k in range(28))
+    db.append_data_from_string("reads", text, cluster="s", parts=3, order=["key"])
+    files = [[r.s for r in db.tables["reads"].df.where("input_file_name() = '" + f + "'").collect()] for f in db.tables["reads"].df.inputFiles()]
+    files = sorted(sorted(len(x) - len(x.lstrip("N")) for x in f) for f in files if f)
+    assert len(files) == 3 and all(a[-1] < b[0] for a, b in zip(files, files[1:], strict=False)) and db.query("reads").count() == 28
+
+
+def test_registered_trees_cost_a_scan_nothing(spark):
+    from helixframe.queries import newick_text
+
+    db = Database(spark=spark)
+    df = spark.createDataFrame([(k, f"NATION_{k}") for k in range(6)], "k int, place string")
+    db.register("t", df, {"k": "INT32", "place": "STRING"}, "k", trees={"place": Tree.from_newick(newick_text())})
+    assert "Join" not in db.query("t.filter(k > 2 && place.phyloDescendantOf('AFRICA'))")._jdf.queryExecution().toString()
+    assert answer(db, "t.filter(place.phyloDescendantOf('AFRICA')).project({k}).orderBy({k})") == [{"k": 0}, {"k": 5}]
+    assert answer(db, "t.filter(k = 1).mostRecentCommonAncestor('place')")[0]["mrcaNode"] == "NATION_1"
 
 
 def test_sinks(spark, tmp_path):
@@ -209,7 +229,9 @@ def test_http(spark):
         status, headers, body = fetch(port, "/query", "default.orderBy({dep.desc()}).project({dep}).limit(1)", **{"X-Request-Id": "me"})
         assert status == 200 and body == b'{"dep":90}\n' and headers["X-Request-Id"] == "me" and json.loads(headers["result-ordering"])[0]["order"] == "descending" and headers["data-version"]
         table = pa.ipc.open_stream(io.BytesIO(fetch(port, "/query", "default.project({dep})", Accept=ARROW)[2])).read_all()
-        assert table.num_rows == 5
+        assert table.num_rows == 5 and table.schema.field("dep").type == pa.int32()
+        assert pa.ipc.open_stream(io.BytesIO(fetch(port, "/query", "default.filter(false)", Accept=ARROW)[2])).read_all().num_rows == 0
+        assert fetch(port, "/query", "default.filter(false)")[2] == b""
         status, _, body = fetch(port, "/query", "default.limit(0)")
         assert status == 400 and json.loads(body) == {"error": "Bad request", "message": "limit must be a positive number"}
         assert fetch(port, "/nope")[0] == 404 and fetch(port, "/query")[0] == 405

@@ -144,6 +144,22 @@ def test_long_profiles_measure_alike(spark):
     assert all(r["a"] == r["b"] for r in rows) and rows[1]["a"] is None and rows[0]["a"] > 0
 
 
+def test_computed_sequences_are_made_once(spark):
+    from helixframe import queries as engine
+
+    df = engine.run(spark, "/root/testdata/sf0.001", engine.LANGUAGE["f17_profile_15"][0])
+    assert df._jdf.queryExecution().executedPlan().toString().count("md5(") <= 2
+
+
+def test_large_trees_stay_on_the_driver(db, monkeypatch):
+    from helixframe.operators import phylogeny
+
+    text = "default.filter(dep < 35).{}('specimenId')"
+    small = [answer(db, text.format(f)) for f in ("mostRecentCommonAncestor", "phyloSubtree")]
+    monkeypatch.setattr(phylogeny, "BROADCAST_LABELS", 2)
+    assert [answer(db, text.format(f)) for f in ("mostRecentCommonAncestor", "phyloSubtree")] == small
+
+
 def test_insertions(db):
     assert answer(db, "default.aminoAcidInsertions(sequenceNames:={cap})") == [{"position": 2, "insertedSymbols": "WY", "sequenceName": "cap", "count": 2}]
     assert answer(db, "default.insertions()") == []
