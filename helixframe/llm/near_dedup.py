@@ -169,20 +169,17 @@ def _forest(percent: int):
     def edges(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         n = np.array([len(x) for x in sets])
         both = common_counts(sets)
-        near = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1)
-        up = list(range(len(ids)))
-
-        def root(k: int) -> int:
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        for a, b in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-            x, y = root(a), root(b)
-            if x != y:
-                up[y] = x
-                yield min(ids[a], ids[b]), max(ids[a], ids[b])
+        near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        far = np.ones(len(ids), bool)  # not reached yet
+        for first in range(len(ids)):
+            reached = [first] if far[first] else []
+            far[reached] = False
+            for a in reached:  # grows as nodes are reached
+                more = np.flatnonzero(near[a] & far)
+                far[more] = False
+                reached += more.tolist()
+                for b in more.tolist():
+                    yield min(ids[a], ids[b]), max(ids[a], ids[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, {}
@@ -215,7 +212,8 @@ def near_components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(own.mapInArrow(_sign, _SIGNED), "signed")
     print_ = ["f1", "f2", "n_shingles"]
-    nodes = signed.where("n_shingles > 0").groupBy(print_).agg(F.min("doc_id").alias("id"))
+    # written, as label below, so that the joins of rows with these read two plain exchanges, and copies of one text can be split
+    nodes = written(signed.where("n_shingles > 0").groupBy(print_).agg(F.min("doc_id").alias("id")), "nodes")
     named = signed.select(*print_, F.col("doc_id").alias("id"), "keys").join(nodes, [*print_, "id"]).select("id", "keys")
     postings = written(posting_lists(named), "postings")
     alive = postings.select("id").distinct()
@@ -229,7 +227,7 @@ def near_components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = confirmed(forest, sets, percent).unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
     final = components(links)
     label = nodes.join(final, "id", "left").select(*print_, F.coalesce("component", "id").alias("component"))
-    out = signed.drop("keys").join(label, print_, "left").withColumn("component", F.coalesce("component", "doc_id"))
+    out = signed.drop("keys").join(written(label, "label"), print_, "left").withColumn("component", F.coalesce("component", "doc_id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
 
