@@ -10,7 +10,8 @@ windows inside one long run stand for themselves.
 
 1. All documents post their anchors' occurrences; only anchors that occur at least twice can hold equal windows.
 2. Documents with such anchors get 128-bit hashes of those windows, from two independent hashes of each word.  Each chunk of documents settles its own
-   repeats, and sends one entry for each distinct window to the window's bucket, where the first place in the corpus stays.
+   repeats, and sends one entry for each distinct window to the window's bucket, where the first place in the corpus stays.  Windows on very frequent anchors
+   (a passage that a third of all documents share) are settled in salted parts first, so that a bucket gets a few entries of each.
 3. Each document takes out the words that windows with an earlier copy cover.
 
 "Earlier" is a smaller id, or an earlier start in one document.  Edge cases: null text has no words; texts shorter than a window stay
@@ -37,6 +38,8 @@ WINDOW = 20
 ROUNDS = 4
 #: Pending windows of one bucket.
 BUCKET = 1_000_000
+#: Windows on anchors that occur more often than this are settled in SALTS parts first.
+HOT, SALTS = 1_000, 16
 _C = np.uint64(0x9FB21C651E98DF25)
 _MASK = (1 << 64) - 1
 
@@ -148,7 +151,7 @@ def _post(window: int, rounds: int):
     return run
 
 
-_PENDING = "doc_id long, packed binary, gone binary, starts binary"
+_PENDING = "doc_id long, packed binary, gone binary, starts binary, hot_starts binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +191,11 @@ def _settle(window: int, rounds: int):
                 owner = np.repeat(np.arange(len(size)), size).astype(np.uint64)
                 pick = np.isin(mix(name) ^ mix(doc.astype(np.uint64) + _C), mix(flat) ^ mix(owner + _C))
                 start, doc = start[pick], doc[pick]
+                often = np.isin(name[pick], np.asarray(c.column("hot").flatten()).astype(np.int64).view(np.uint64))
                 g, check = grams(h, window)[start], grams(w.hashes(1), window)[start]
                 begin = start - w.at[doc]
                 order = np.lexsort((begin, ids[doc], check, g))
-                g, check, doc, begin = g[order], check[order], doc[order], begin[order]
+                g, check, doc, begin, often = g[order], check[order], doc[order], begin[order], often[order]
                 same = np.zeros(len(g), bool)
                 same[1:] = (g[1:] == g[:-1]) & (check[1:] == check[:-1])
                 # rows that repeat an id have their windows in one place: those stay pending together
@@ -208,7 +212,7 @@ def _settle(window: int, rounds: int):
                     cut = np.searchsorted(doc[at], np.arange(len(ids) + 1))
                     return [pa.array([begin[at[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())]
 
-                yield pa.RecordBatch.from_arrays([pa.array(ids), c.column("packed"), *lists(gone), *lists(~gone)], ["doc_id", "packed", "gone", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), c.column("packed"), *lists(gone), *lists(~gone & ~often), *lists(~gone & often)], ["doc_id", "packed", "gone", "starts", "hot_starts"])
 
     return run
 
@@ -217,53 +221,86 @@ _ENTRIES = "bucket long, ids binary, hashes binary, checks binary, starts binary
 _TYPES = {"ids": np.int64, "hashes": np.uint64, "checks": np.uint64, "starts": np.int32}
 
 
-def _deal(buckets: int, window: int):
+def _deal(buckets: int, window: int, salts: int = 1):
     """Entries of the pending windows; their hashes are made again from the text, which is less than to keep them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in _unpacked(b):
                 w = Words(c.column("text"))
-                h = w.hashes()
                 starts = c.column("starts").to_pylist()
                 size = [len(x) // 4 for x in starts]
                 begin = np.frombuffer(b"".join(starts), np.int32)
                 at = np.repeat(w.at[:-1], size) + begin
-                checks = grams(w.hashes(1), window)[at]
-                got = {"ids": np.repeat(np.asarray(c.column("doc_id")), size), "hashes": grams(h, window)[at], "checks": checks, "starts": begin}
-                to = (got["hashes"] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                which, first = np.unique(to[order], return_index=True)
-                ends = np.append(first[1:], len(order))
-                cols = [pa.array([got[k][order[i:j]].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()) for k in _TYPES]
-                yield pa.RecordBatch.from_arrays([pa.array(which), *cols], ["bucket", *_TYPES])
+                ids = np.asarray(c.column("doc_id"))
+                got = {"ids": np.repeat(ids, size), "hashes": grams(w.hashes(), window)[at], "checks": grams(w.hashes(1), window)[at], "starts": begin}
+                salt = int(mix(ids[:1].view(np.uint64))[0] % np.uint64(salts))
+                yield _entries(got, (got["hashes"] % np.uint64(buckets)).astype(np.int64) * salts + salt)
 
     return run
 
 
-def _first_stays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All entries of a bucket: those with an earlier equal window, by document."""
+def _entries(got: dict[str, np.ndarray], to: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket."""
+    order = np.argsort(to, kind="stable")
+    which, first = np.unique(to[order], return_index=True)
+    ends = np.append(first, len(order))[1:]
+    cols = [pa.array([got[k][order[i:j]].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()) for k in _TYPES]
+    return pa.RecordBatch.from_arrays([pa.array(which), *cols], ["bucket", *_TYPES])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
+    """All entries of a task's buckets, equal windows next to each other and the first place first; and which aren't the first."""
     held: dict[str, list[bytes]] = {k: [] for k in _TYPES}
     for b in batches:
         for k in _TYPES:
             held[k] += b.column(k).to_pylist()
     got = {k: np.frombuffer(b"".join(held.pop(k)), t) for k, t in _TYPES.items()}
     order = np.lexsort((got["starts"], got["ids"], got["checks"], got["hashes"]))
-    i, g, c, s = (got[k][order] for k in _TYPES)
-    if not len(i):
-        return
+    if not len(order):
+        return None
+    got = {k: x[order] for k, x in got.items()}
+    i, g, c, s = got.values()
     same = np.zeros(len(i), bool)
     same[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
     lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(i))))
-    gone = np.flatnonzero(same & ~((i == i[lead]) & (s == s[lead])))
-    gone = gone[np.argsort(i[gone], kind="stable")]
-    who, begin = np.unique(i[gone], return_index=True)
-    ends = np.append(begin[1:], len(gone))
+    return got, same & ~((i == i[lead]) & (s == s[lead]))
+
+
+def _by_document(i: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, more): the starts of each document."""
+    order = np.argsort(i, kind="stable")
+    i, s = i[order], s[order]
+    who, begin = np.unique(i, return_index=True)
+    ends = np.append(begin, len(i))[1:]
     for k in range(0, len(who), 10_000):
-        cols = [s[gone[a:z]].tobytes() for a, z in zip(begin[k : k + 10_000], ends[k : k + 10_000], strict=True)]
+        cols = [s[a:z].tobytes() for a, z in zip(begin[k : k + 10_000], ends[k : k + 10_000], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(who[k : k + 10_000]), pa.array(cols, pa.binary())], ["doc_id", "more"])
 
 
+def _first_stays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with an earlier equal one, by document."""
+    if found := _settled(batches):
+        got, gone = found
+        yield from _by_document(got["ids"][gone], got["starts"][gone])
+
+
+def _first_of_part(buckets: int):
+    """The same of a salted part; its first windows go on as entries of their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := _settled(batches):
+            got, gone = found
+            schema = pa.schema([("doc_id", pa.int64()), ("more", pa.binary()), ("bucket", pa.int64()), *[(k, pa.binary()) for k in _TYPES]])
+            none = lambda b, k: pa.nulls(b.num_rows, schema.field(k).type)
+            stay = {k: x[~gone] for k, x in got.items()}
+            entries = _entries(stay, (stay["hashes"] % np.uint64(buckets)).astype(np.int64))
+            for b in (*_by_document(got["ids"][gone], got["starts"][gone]), entries):
+                yield pa.RecordBatch.from_arrays([b.column(k) if k in b.schema.names else none(b, k) for k in schema.names], schema=schema)
+
+    return run
+
+
 _CLEANED = "doc_id long, whole_sha256 string, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -300,15 +337,24 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, k
     posted = written(own.mapInArrow(_post(window, rounds), _POSTED), "anchors")
     each = posted.select("doc_id", F.explode("anchors").alias("anchor"))
     # written, so that the join below it reads two plain exchanges, and a hot anchor can be split
-    twice = written(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated")
-    hit = each.join(twice, "anchor", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("anchor").alias("repeated"))
+    twice = written(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    hot = F.collect_set(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot")
+    hit = each.join(twice, "anchor").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("anchor").alias("repeated"), hot)
     packed = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").mapInArrow(_pack, "id long, packed binary")
     some = packed.join(hit, "id")
     settled = written(some.mapInArrow(_settle(window, rounds), _PENDING), "settled")
-    total = settled.agg(F.coalesce(F.sum(F.octet_length("starts")), F.lit(0))).first()[0] // 4
-    buckets = max(1, -(-total // BUCKET))
+    size = lambda c: F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    total, often = (n // 4 for n in settled.agg(size("starts"), size("hot_starts")).first())
+    buckets = max(1, -(-(total + often) // BUCKET))
     entries = settled.select("doc_id", "packed", "starts").mapInArrow(_deal(buckets, window), _ENTRIES)
+    gone = None
+    if often:
+        parts = settled.where(F.octet_length("hot_starts") > 0).select("doc_id", "packed", F.col("hot_starts").alias("starts")).mapInArrow(_deal(buckets, window, SALTS), _ENTRIES)
+        parts = written(parts.repartition(buckets * SALTS, "bucket").mapInArrow(_first_of_part(buckets), f"doc_id long, more binary, {_ENTRIES}"), "parts")
+        gone = parts.where("doc_id IS NOT NULL").select("doc_id", "more")
+        entries = entries.unionByName(parts.where("doc_id IS NULL").select("bucket", *_TYPES))
     later = entries.repartition(buckets, "bucket").mapInArrow(_first_stays, "doc_id long, more binary")
+    later = later.unionByName(gone) if gone is not None else later
     later = later.groupBy("doc_id").agg(F.collect_list("more").alias("more"))
     cleaned = settled.select("doc_id", "packed", "gone").join(later, "doc_id", "left").mapInArrow(_clean(window, keep_text), _CLEANED)
     cleaned = cleaned.dropDuplicates(["doc_id", "whole_sha256"])

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from helixframe.llm import common
 from helixframe.llm import exact_dedup as X
 from helixframe.llm import token_counts as TC
 from helixframe.llm import warc
@@ -222,6 +223,19 @@ def test_substring_dedup(frame, docs):
     assert substring_dedup(frame(NO_ROWS)).count() == 0
 
 
+def test_frequent_windows_are_settled_in_parts(frame, docs, monkeypatch):
+    from helixframe.llm import substring_dedup as S
+
+    rng = random.Random(26)
+    shared = prose(rng, 45, 5000)
+    rows = [(i, t, s) for i, t, s in docs if i is not None and i < 60] + [(100 + k, prose(rng, 25) + " " + shared + " " + prose(rng, 25), "s") for k in range(40)]
+    monkeypatch.setattr(S, "HOT", 3)
+    for module in (S, common):
+        monkeypatch.setattr(module, "CHUNK_BYTES", 600)
+    got = substring_dedup(frame(rows).repartition(3)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute.substring_dedup([(i, t) for i, t, _ in rows])
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_equal_windows_share_their_anchor(seed):
     """Whatever stands around them: also in runs and periodic texts."""
