@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,22 +93,32 @@ def records(name: str, url: str | None, payload: bytes, refers_to: str | None, s
         yield _record("continuation", own, block[k : k + segment_bytes])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor().compress
+    for b in batches:
+        html = b.column("html").to_pylist()
+        cols = [b.column("page_id"), b.column("url"), b.column("digest"), pa.array([len(x) for x in html], pa.int64()), pa.array([pack(x) for x in html], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "digest", "size", "packed"])
+
+
 def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Write pages (page_id, url, html) as archives under ``path``."""
-    own = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    own = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
     # written, so that the join below it reads two plain exchanges, and a payload that many pages share can be split
     last = written(own.groupBy("digest").agg(F.max("page_id").alias("last")), "payloads")
-    older = (F.octet_length("html") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("last"))
-    rows = own.join(last, "digest").select("page_id", "url", "html", "digest", F.when(older, F.col("last")).alias("refers"), older.alias("older"))
+    older = (F.col("size") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("last"))
+    packed = own.mapInArrow(_pack, "page_id long, url string, digest binary, size long, packed binary")  # what the join moves
+    rows = packed.join(last, "digest").select("page_id", "url", "packed", "digest", F.when(older, F.col("last")).alias("refers"), older.alias("older"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out: list[bytes] = []
             size = 0
-            cols = [b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers", "older")]
-            for page, url, html, digest, refers, old in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("page_id", "url", "packed", "digest", "refers", "older")]
+            for page, url, packed, digest, refers, old in zip(*cols, strict=True):
                 name = lambda p: f"urn:page:{p}:{digest.hex()}"  # noqa: B023, E731
-                for r in records(name(page), url, html.encode(), name(refers) if old else None, segment_bytes):
+                for r in records(name(page), url, unpack(packed), name(refers) if old else None, segment_bytes):
                     out.append(r)
                     size += len(r)
                 if size > 4 << 20:
@@ -175,13 +186,14 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes:
     return payload
 
 
-_FIELDS = "origin string, segment int, total long, kind string, digest string, refers string, block binary"
+_FIELDS = "origin string, segment int, total long, kind string, digest string, refers string, packed binary"
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record or segment of the archives under ``path``."""
+    """One row for each record or segment of the archives under ``path``, its block packed by zstd."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor().compress
         for b in batches:
             for content in b.column("content"):
                 rows, size = [], 0
@@ -189,7 +201,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                     if (want := f.get("warc-block-digest")) and want != f"sha1:{base32_sha1(block)}":
                         raise ValueError(f"block digest of {f['warc-record-id']} is wrong")
                     total = f.get("warc-segment-total-length")
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 0)), total and int(total), f["warc-type"], f.get("warc-payload-digest"), f.get("warc-refers-to"), block))
+                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 0)), total and int(total), f["warc-type"], f.get("warc-payload-digest"), f.get("warc-refers-to"), pack(block)))
                     size += len(block)
                     if size > 4 << 20:
                         yield _batch(rows, _FIELDS)
@@ -219,17 +231,19 @@ def reassembled(segments: DataFrame, payloads: bool = True) -> DataFrame:
     fields = _WHOLE if payloads else _WHOLE.replace("payload binary", "payload_bytes long")
 
     def whole(rows: list[tuple]) -> tuple | None:
-        origin, _, _, kind, digest, refers, block = rows[0]
+        origin, _, _, kind, digest, refers, packed = rows[0]
+        unpack = zstandard.ZstdDecompressor().decompress
         copies = sum(r[1] == rows[0][1] for r in rows)
         if kind == "revisit":
             return origin, kind, digest, refers, copies, None
         if kind != "response":
             raise ValueError(f"segments of {origin} have no first one")
+        block = unpack(packed)
         if rows[0][1]:
             own = {r[1]: r for r in rows}
             if sorted(own) != list(range(1, len(own) + 1)):
                 raise ValueError(f"a segment of {origin} is missing")
-            block = b"".join(own[n][6] for n in range(1, len(own) + 1))
+            block = b"".join(unpack(own[n][6]) for n in range(1, len(own) + 1))
             if own[len(own)][2] != len(block):
                 raise ValueError(f"segments of {origin} have {len(block)} bytes, not {own[len(own)][2]}")
         payload = payload_of({"warc-record-id": origin, "warc-payload-digest": digest or ""}, block)
