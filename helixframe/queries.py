@@ -30,7 +30,7 @@ GENE_REFERENCE = "ACDEFGHIKLMN*XB-ACDEFGHIKLMN*XB-"
 PROFILE = "ATGTACTCACRAGAAGTTCANTGG-GCCCTAA"
 GENE_PROFILE = "ACDEFGHIKLMN*XB-ACXXFGHIKLMN*XB-"
 #: An order with a sequence.
-SAMPLE = 6
+SAMPLE = 7
 _REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 #: Nations that come from two regions: their own and the next one.
 RECOMBINANTS = ("NATION_3", "NATION_12")
@@ -301,7 +301,7 @@ LANGUAGE: dict[str, tuple[str, str]] = {
     ),
     "f16_n_of_exactly": (f"orders.filter(!nOf(1, {{o_urgent = true, o_units > 20, o_orderstatus = 'F'}}, matchExactly:=true)).{_N}", _count("CAST(coalesce(o_urgent, false) AS INT) + CAST(coalesce(o_units > 20, false) AS INT) + CAST(o_orderstatus = 'F' AS INT) <> 1")),
     **{f"f17_profile_{d}": (f"orders.filter(nucleotideMutationProfile(distance:={d}, sequenceName:='seq', querySequence:='{PROFILE}')).{_N}", _count(_profile_sql(d))) for d in (0, 15, 22)},
-    "f17_profile_by_id": (f"orders.filter(nucleotideMutationProfile(distance:=17, sequenceName:='seq', sequenceId:='{SAMPLE}')).{_N}", _count(f"seq IS NULL OR ({_far_sql('seq', f'(SELECT seq FROM {ORDERS} WHERE o_orderkey = {SAMPLE})')}) <= 17")),
+    "f17_profile_by_id": (f"orders.filter(nucleotideMutationProfile(distance:=17, sequenceName:='seq', sequenceId:='{SAMPLE}')).{_N}", _count(f"seq IS NULL OR ({_far_sql('seq', 'other')}) <= 17", f"(SELECT seq, (SELECT seq FROM {ORDERS} WHERE o_orderkey = {SAMPLE}) AS other FROM {ORDERS})")),
     "f17_profile_by_mutations": (
         f"orders.filter(nucleotideMutationProfile(distance:=16, sequenceName:='seq', mutations:={{{{position:=4, symbol:='A'}}, {{position:=30, symbol:='R'}}}})).{_N}",
         _count(_profile_sql(16, REFERENCE[:3] + "A" + REFERENCE[4:29] + "R" + REFERENCE[30:])),
@@ -313,13 +313,13 @@ LANGUAGE: dict[str, tuple[str, str]] = {
     ),
     **{
         f"f17_genome_profile_{d}": (
-            f"genomes.filter(nucleotideMutationProfile(distance:={d}, sequenceName:='genome', mutations:={{{{position:=3221, symbol:='G'}}}})).{_N}",
-            # position 3221 is the fifth of a period, where the reference has T
-            _count(f"seq IS NULL OR {TIMES} * ({_distance_sql(REFERENCE)}) - CASE WHEN {_letters(5)} NOT IN {_may('T')} THEN 1 ELSE 0 END + CASE WHEN {_letters(5)} NOT IN {_may('G')} THEN 1 ELSE 0 END <= {d}"),
+            f"genomes.filter(nucleotideMutationProfile(distance:={d}, sequenceName:='genome', mutations:={{{{position:=3204, symbol:='G'}}}})).{_N}",
+            # position 3204 is the fourth of a period, where the reference has T
+            _count(f"seq IS NULL OR {TIMES} * ({_distance_sql(REFERENCE)}) - CASE WHEN {_letters(4)} NOT IN {_may('T')} THEN 1 ELSE 0 END + CASE WHEN {_letters(4)} NOT IN {_may('G')} THEN 1 ELSE 0 END <= {d}"),
         )
-        for d in (0, 5, 50, 200, 2200)
+        for d in (0, 5, 50, 200, 2249, 2250)
     },
-    "f8_genome_position": (f"genomes.filter(nucleotideEquals(position:=3221, symbol:='T', sequenceName:='genome') && hasMutation(position:=3970, sequenceName:='genome')).{_N}", _count(f"{_letters(5)} = 'T' AND {_letters(2)} IN {_not_ambiguous(REFERENCE, 2)}")),
+    "f8_genome_position": (f"genomes.filter(nucleotideEquals(position:=3204, symbol:='T', sequenceName:='genome') && hasMutation(position:=3970, sequenceName:='genome')).{_N}", _count(f"{_letters(4)} = 'T' AND {_letters(2)} IN {_not_ambiguous(REFERENCE, 2)}")),
     "f19_genome_co_occurrence": (
         "genomes.map({a := genome.at(1), b := genome.at(803), c := genome.at(1605), d := genome.at(2407), e := genome.at(3209), f := genome.at(3999)}).groupBy({n:=count()}, {a, b, c, d, e, f})",
         f"SELECT {_letters(1)} AS a, {_letters(3)} AS b, {_letters(5)} AS c, {_letters(7)} AS d, {_letters(9)} AS e, {_letters(31)} AS f, count(*) AS n FROM {ORDERS} GROUP BY 1, 2, 3, 4, 5, 6",

@@ -6,11 +6,14 @@ upper case, filled to the reference's length with the missing symbol.
 
 from __future__ import annotations
 
+import io
+import lzma
 import os
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,30 +39,40 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.text(path).where(F.trim("value") != "")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-        import lzma
-
-        import zstandard
-
         for b in batches:
             for content in b.column("content").to_pylist():
-                if content[:4] == zstandard.FRAME_HEADER:
-                    stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
-                else:
-                    stream = lzma.LZMAFile(io.BytesIO(content.rstrip(b"\0")))  # streams may be padded
-                held = []
-                for line in io.TextIOWrapper(stream, "utf-8", newline="\n"):
-                    if line.strip():
-                        held.append(line.rstrip("\n"))
-                    if len(held) == 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held)], ["value"])
+                held: list[bytes] = []
+                rest = b""
+                for piece in _unpacked(content):
+                    *whole, rest = (rest + piece).split(b"\n")
+                    held += [x for x in whole if x.strip()]
+                    if len(held) >= 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in held], pa.string())], ["value"])
                         held = []
+                held += [rest] if rest.strip() else []
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(held)], ["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in held], pa.string())], ["value"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "value string")
 
 
+def _unpacked(content: bytes) -> Iterator[bytes]:
+    """The bytes of a zstd or xz file, a megabyte at a time: all its frames, or all its streams with the padding between them."""
+    if content[:4] == zstandard.FRAME_HEADER:
+        stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
+        while piece := stream.read(1 << 20):
+            yield piece
+        return
+    while content := content.lstrip(b"\0"):
+        stream, data = lzma.LZMADecompressor(), content
+        while not stream.eof:
+            if not data and stream.needs_input:
+                raise EOFError("a compressed file ends inside a stream")
+            yield stream.decompress(data, 1 << 20)
+            data = b""
+        content = stream.unused_data
+
+
 def _fail(message: Column) -> Column:
     return F.raise_error(message)
 
@@ -106,8 +119,6 @@ def _decompressed(reference: str):
     def run(values: pd.Series) -> pd.Series:
         import base64
 
-        import zstandard
-
         tool = None
         out = []
         for v in values:

@@ -93,6 +93,11 @@ def test_input_files(spark, tmp_path, simple):
     for name in ("plain", "z", "x"):
         simple.append_data_from_file("reads", str(tmp_path / name))
     assert simple.query("reads").count() == 6
+    (tmp_path / "padded.xz").write_bytes(lzma.compress(text + b"\n") + b"\0" * 8 + lzma.compress(text) + b"\0" * 4)
+    assert ndjson.lines(spark, str(tmp_path / "padded")).count() == 4
+    (tmp_path / "cut.xz").write_bytes(lzma.compress(text)[:-9])
+    with pytest.raises(Exception, match="ends inside a stream"):
+        ndjson.lines(spark, str(tmp_path / "cut")).count()
     assert simple.get_filtered_bitmap("reads", "key = 'a'") == {0, 2, 4}
     with pytest.raises(Exception):
         simple.append_data_from_file("reads", str(tmp_path / "none"))
