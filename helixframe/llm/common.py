@@ -44,8 +44,8 @@ def parts_for(df: DataFrame, rows_each: int, rows: int | None = None) -> int:
 
 _IS_WORD = np.ones(256, np.uint8)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words of more bytes are hashed one by one.
@@ -92,7 +92,7 @@ class Words:
 
         The state is scrambled after each eight bytes, so it isn't linear in them and no pattern of letters cancels out.
         """
-        data = np.concatenate([_LOWER[self.data] if self.lower else self.data, np.zeros(8, np.uint8)])
+        data = np.concatenate([LOWER[self.data] if self.lower else self.data, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from each place on
         size = self.end - self.start
         h = mix((size.astype(np.uint64) + np.uint64(lane << 32)) * _MULT)

@@ -10,9 +10,9 @@ Each node's signature has ``COORDS`` min-hash coordinates; every coordinate-valu
 * Prefix: of a node's m shared keys, ordered from rare to frequent, any MATCHES agreements include one of the first
   m - MATCHES + 1, so only these are posted; frequent keys (a passage that many texts share) are mostly left out.
 * Merge: nodes meet in the lists of equal keys.  First each list is compared with two hubs, its smallest and its largest node:
-  collisions are counted on the signatures, and pairs of at least MATCHES are confirmed on the full sets.  Lists that then lie in one component are done.
+  collisions are counted on the signatures, and pairs of at least MATCHES are confirmed on the full sets, word by word.  Lists that then lie in one component are done.
   In the others all pairs are compared inside a task, list by list (long lists in pairs of blocks), by counting common shingles of
-  the full sets with a matrix product; what leaves the task is a spanning forest of the links, confirmed on the full sets in turn.
+  the sets of shingle hashes with a matrix product; what leaves the task is a spanning forest of the links, confirmed word by word in turn.
   So no link that could join two components is lost, and a group of near copies is never expanded to rows of pairs.
 
 Components come from distributed contraction.  Edge cases: null, empty and wordless texts have no shingles and are linked with nothing;
@@ -22,14 +22,15 @@ id sorts last; an empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import NULL_ID, Words, chunks, grams, ids_of, mix, ragged, written
+from helixframe.llm.common import CHUNK_BYTES, LOWER, NULL_ID, Words, chunks, grams, ids_of, mix, ragged, written
 from helixframe.llm.components import components
 
 SHINGLE = 5
@@ -93,13 +94,68 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids_of(c.column("doc_id"))), pa.array(n.astype(np.int64)), *longs, ragged(keys.reshape(-1).view(np.int64), ends, pa.int64())], ["doc_id", "n_shingles", "f1", "f2", "keys"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys, set size and text (zstd: what is exchanged from here on)."""
+    pack = zstandard.ZstdCompressor(3).compress
     for b in batches:
         for c in chunks(b):
             v, at = shingle_sets(c.column("text"))
+            n = np.diff(at)
             keys, full = signatures(v, at)
-            ends = np.concatenate([[0], np.cumsum(np.where(np.diff(at) > 0, COORDS, 0))])
-            yield pa.RecordBatch.from_arrays([c.column("id"), ragged(keys.reshape(-1).view(np.int64), ends, pa.int64()), ragged(v.view(np.int64), at, pa.int64())], ["id", "keys", "shingles"])
+            ends = np.concatenate([[0], np.cumsum(np.where(n > 0, COORDS, 0))])
+            packed = pa.array([pack(x.as_buffer()) for x in c.column("text").cast(pa.large_binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([c.column("id"), ragged(keys.reshape(-1).view(np.int64), ends, pa.int64()), pa.array(n.astype(np.int64)), packed], ["id", "keys", "n", "packed"])
+
+
+def _unpacked(packed: Sequence[bytes]) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x) for x in packed], pa.large_binary()).cast(pa.large_string())
+
+
+def _portions(rows: list[list[bytes]]) -> Iterator[list[int]]:
+    """Places of rows whose texts have CHUNK_BYTES together, or of one row with more."""
+    size = np.cumsum([0, *[sum(zstandard.frame_content_size(x) for x in row) for row in rows]])[:-1] // CHUNK_BYTES
+    for part in np.unique(size):
+        yield np.flatnonzero(size == part).tolist()
+
+
+def exact_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, but with a number for each different shingle of these texts: words are compared by their bytes, no hash decides."""
+    w = Words(texts, lower=True)
+    size = w.end - w.start
+    data = LOWER[w.data][np.repeat(w.start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] if len(size) else w.data[:0]
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())])
+    word = np.asarray(words.dictionary_encode().indices).astype(np.int64) if len(size) else np.zeros(0, np.int64)
+    doc, n = w.doc_of(), np.repeat(w.counts(), w.counts())
+    left = np.repeat(w.at[1:], w.counts()) - np.arange(len(word))  # words from here to the text's end
+    width = np.minimum(n, k)
+    number = np.zeros(len(word), np.int64)
+    for j in range(k):  # spans that begin alike and go on alike; a short text's one shingle ends early
+        at = np.minimum(np.arange(len(word)) + j, max(0, len(word) - 1))
+        nxt = np.where(j < width, word[at] + 1, 0)
+        number = np.unique(number * (len(word) + 2) + nxt, return_inverse=True)[1].astype(np.int64)
+    begins = left >= width
+    own = np.unique(np.stack([doc[begins], number[begins]], 1), axis=0) if len(word) else np.zeros((0, 2), np.int64)
+    return own[:, 1], np.searchsorted(own[:, 0], np.arange(len(w.at)))
+
+
+def _confirm(percent: int):
+    """The pairs whose sets of words reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, z = (b.column(c).to_pylist() for c in ("a_packed", "b_packed"))
+            near = []
+            for own in _portions([[x, y] for x, y in zip(a, z, strict=True)]):
+                v, at = exact_sets(_unpacked([x for k in own for x in (a[k], z[k])]))
+                for k in range(0, 2 * len(own), 2):
+                    one, two = v[at[k] : at[k + 1]], v[at[k + 1] : at[k + 2]]
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    near.append(100 * both >= percent * (len(one) + len(two) - both))
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
 
 
 def posting_lists(nodes: DataFrame) -> DataFrame:
@@ -112,33 +168,26 @@ def posting_lists(nodes: DataFrame) -> DataFrame:
     return mine.where(F.size("s") >= MATCHES).select("id", F.explode(prefix).alias("p")).select("id", F.col("p.key").alias("key"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose signatures collide often enough and whose full sets reach the similarity.
-
-    Nodes differ in their sets, so two that have all shingle hashes in common do so by a hash collision and aren't linked.
-    """
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("keys").alias(f"{s}_keys"), F.col("shingles").alias(f"{s}_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    na, nb = F.size("a_set"), F.size("b_set")
-    both = both.where(F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose signatures collide often enough and whose full sets, compared word by word, reach the similarity."""
+    side = lambda s: texts.select(F.col("id").alias(s), F.col("keys").alias(f"{s}_keys"), F.col("n").alias(f"{s}_n"), F.col("packed").alias(f"{s}_packed"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
     collisions = F.aggregate(F.zip_with("a_keys", "b_keys", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    inter = F.size(F.array_intersect("a_set", "b_set")).cast("long")
-    both = both.where(collisions >= MATCHES).withColumn("inter", inter).where(F.col("inter") < F.greatest(na, nb))
-    return both.where(F.col("inter") * 100 >= (na + nb - F.col("inter")) * percent).select("a", "b")
+    return both.where(collisions >= MATCHES).select("a", "b", "a_packed", "b_packed").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def list_rows(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """The nodes of each list with their sets, dealt and sorted by list and pair of blocks.
+def list_rows(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """The nodes of each list with their texts, dealt and sorted by list and pair of blocks.
 
     A list has as many blocks as keep a pair of them within BLOCK_NODES nodes and BLOCK_SHINGLES shingles each.
     """
-    own = lists.select("key", "id").join(sets.select("id", "shingles"), "id")
-    size = lists.select("key", "id").join(sets.select("id", F.size("shingles").alias("n")), "id")
+    own = lists.select("key", "id").join(texts.select("id", "packed"), "id")
+    size = lists.select("key", "id").join(texts.select("id", "n"), "id")
     size = size.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = own.join(size, "key").withColumn("mine", mine).withColumn("other", other)
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "shingles")
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "packed")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
@@ -164,7 +213,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _forest(percent: int):
-    """Spanning edges of the links inside each list (pair of blocks)."""
+    """Spanning edges of the links inside each list (pair of blocks), by shingle hashes."""
 
     def edges(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         n = np.array([len(x) for x in sets])
@@ -189,14 +238,16 @@ def _forest(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
-            own = b.column("shingles")
-            flat, at = np.asarray(own.flatten()), np.concatenate([[0], np.cumsum(np.asarray(own.value_lengths()))])
-            for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "id")), strict=True)):
-                if row[:3] != group:
-                    if len(held) > 1:
-                        yield out()
-                    group, held = row[:3], {}
-                held[row[3]] = np.unique(flat[at[k] : at[k + 1]])
+            packed = b.column("packed").to_pylist()
+            for own in _portions([[x] for x in packed]):
+                c = b.slice(own[0], len(own))
+                flat, at = shingle_sets(_unpacked([packed[k] for k in own]))
+                for k, row in enumerate(zip(*(c.column(x).to_pylist() for x in ("key", "i", "j", "id")), strict=True)):
+                    if row[:3] != group:
+                        if len(held) > 1:
+                            yield out()
+                        group, held = row[:3], {}
+                    held[row[3]] = flat[at[k] : at[k + 1]].copy()
         if len(held) > 1:
             yield out()
 
@@ -218,13 +269,13 @@ def near_components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     postings = written(posting_lists(named), "postings")
     alive = postings.select("id").distinct()
     text = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").join(alive, "id", "left_semi")
-    sets = written(text.mapInArrow(_sets, "id long, keys array<long>, shingles array<long>"), "sets")
-    found = components(written(confirmed(_hub_pairs(postings), sets, percent), "links"))
+    texts = written(text.mapInArrow(_packed, "id long, keys array<long>, n long, packed binary"), "texts")
+    found = components(written(confirmed(_hub_pairs(postings), texts, percent), "links"))
     lists = postings.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     mixed = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rows = list_rows(lists.join(mixed, "key", "left_semi"), sets)
+    rows = list_rows(lists.join(mixed, "key", "left_semi"), texts)
     forest = rows.mapInArrow(_forest(percent), "a long, b long").distinct()
-    links = confirmed(forest, sets, percent).unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    links = confirmed(forest, texts, percent).unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
     final = components(links)
     label = nodes.join(final, "id", "left").select(*print_, F.coalesce("component", "id").alias("component"))
     out = signed.drop("keys").join(written(label, "label"), print_, "left").withColumn("component", F.coalesce("component", "doc_id"))

@@ -20,7 +20,7 @@ from helixframe.llm.components import components
 from helixframe.llm.decontaminate import RADIUS, BlockIndex, contaminated, decontaminated, simhash, simhashes, weighted_jaccard
 from helixframe.llm.line_dedup import full_lines, line_chunks, line_dedup
 from helixframe.llm.mixing import mix_sources, sainte_lague, water_fill
-from helixframe.llm.near_dedup import MATCHES, _forest, common_counts, list_rows, near_components, signatures
+from helixframe.llm.near_dedup import MATCHES, _forest, common_counts, exact_sets, list_rows, near_components, signatures
 from helixframe.llm.quality import classify, expectation_maximisation
 from helixframe.llm.sharding import hilbert_index, hilbert_shards, write_shards
 from helixframe.llm.substring_dedup import anchors, substring_dedup
@@ -360,12 +360,31 @@ def test_common_counts():
                 assert both[a, b] == len(np.intersect1d(sets[a], sets[b]))
 
 
-def test_mixed_lists_compare_whole_shingles(spark):
-    n = 200_000  # more than float32 counts to the hundredth; upper halves all equal
-    sets = {1: range(0, 20), 2: range(50, 70), 3: range(100, 117), 4: range(100, 120), 5: range(100, 116)}
-    lists = spark.createDataFrame([(7, i) for i in sets], "key long, id long")
-    rows = list_rows(lists, spark.createDataFrame([(i, list(x)) for i, x in sets.items()], "id long, shingles array<long>"))
-    assert {tuple(r) for r in rows.mapInArrow(_forest(85), "a long, b long").collect()} == {(3, 4), (3, 5)}
+def test_exact_sets(docs):
+    texts = [t or "" for _, t, _ in docs] + ["a b c d", "A  b C", "a", "b", *_thue_morse(1024)]
+    v, at = exact_sets(pa.array(texts, pa.large_string()))
+    for k, t in enumerate(texts):
+        want = brute.shingles(t)
+        own = v[at[k] : at[k + 1]].tolist()
+        assert len(own) == len(set(own)) == len(want)
+    by = {}
+    for k, t in enumerate(texts):
+        for j, u in enumerate(texts[:k]):
+            both = np.intersect1d(v[at[k] : at[k + 1]], v[at[j] : at[j + 1]])
+            by.setdefault(len(both) == len(brute.shingles(t) & brute.shingles(u)), []).append((k, j))
+    assert set(by) == {True}
+
+
+def test_mixed_lists_compare_all_pairs(spark):
+    import zstandard
+
+    pack = lambda words: zstandard.ZstdCompressor().compress(" ".join(words).encode())
+    word = [f"w{k}" for k in range(200)]
+    rows = {1: word[:24], 2: word[50:74], 3: word[100:121], 4: word[100:124], 5: word[100:120]}  # 20, 20, 17, 20 and 16 shingles
+    lists = spark.createDataFrame([(7, i) for i in rows], "key long, id long")
+    texts = spark.createDataFrame([(i, len(x) - 4, bytearray(pack(x))) for i, x in rows.items()], "id long, n long, packed binary")
+    assert {tuple(r) for r in list_rows(lists, texts).mapInArrow(_forest(85), "a long, b long").collect()} == {(3, 4), (3, 5)}
+    n = 200_000
     both = common_counts([np.arange(n + 1), np.arange(n + 1), np.arange(n)])
     assert (100 * both[0, 2], 100 * both[0, 1]) == (100 * n, 100 * n + 100)
 
