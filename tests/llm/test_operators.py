@@ -284,6 +284,9 @@ def test_mixing(frame, docs):
     assert sum(s[2] for s in by_source.values()) == pytest.approx(total)
     for taken, own, target, told in by_source.values():
         assert own == told and target <= 3 * own and abs(taken - target) <= 8 * 4 * 2
+    single = [(i, t, s) for i, t, s in docs if i is not None and i != 100]
+    plain = {r.doc_id: r.taken for r in mix_sources(frame(single), block_words=4).select("row.doc_id", "taken").collect()}
+    assert plain == brute.mixed(single, block=4)
     again = mix_sources(df, block_words=4).select("row.doc_id", "taken").collect()
     assert sorted(map(str, again)) == sorted(str(type(again[0])(doc_id=r.doc_id, taken=r.taken)) for r in got) or sorted((r.doc_id or -1, r.taken) for r in again) == sorted((r.doc_id or -1, r.taken) for r in got)
     assert mix_sources(frame(NO_ROWS)).count() == 0
@@ -614,22 +617,6 @@ def test_sharding(frame, docs):
     assert hilbert_shards(frame(NO_ROWS)).count() == 0
 
 
-def _plain_places(rows, bits: int) -> dict[int, int]:
-    """doc_id -> place on the curve: cells by exact quantiles, the curve walked cell by cell; equal texts share the cell of the smallest id."""
-    walk = {p: k for k, p in enumerate(_curve(bits))}
-    values = {d: [r[d] for r in rows] for d in (2, 3)}
-    cuts = [len(rows) * c / (1 << bits) for c in range(1, 1 << bits)]
-    edges = {d: {min((v for v in own if below(own, v) >= cut), default=None) for cut in cuts} - {None} for d, own in values.items()}
-    first: dict = {}
-    for r in sorted(rows):
-        first.setdefault(r[1], r)
-    return {r[0]: walk[tuple(sum(first[r[1]][d] >= e for e in edges[d]) for d in (2, 3))] for r in rows}
-
-
-def below(own: list, v) -> int:
-    return sum(x < v for x in own)
-
-
 def _curve(bits: int) -> list[tuple[int, int]]:
     """Cells of the two-dimensional curve in order, by its rule of four copies."""
     cells = [(0, 0)]
@@ -647,9 +634,9 @@ def test_sharding_by_plain_sorting(spark):
     got = hilbert_shards(df, dims=("source", "weight"), bits=3).select("row.doc_id", "row.text", "curve", "shard", "slot").collect()
     line = sorted(got, key=lambda r: (r.shard, r.slot))
     assert [r.curve for r in line] == sorted(r.curve for r in got) and Counter(r.shard for r in got) == {k: 37 + (k < 4) for k in range(8)}
-    plain = _plain_places(rows, 3)
-    grid = hilbert_index([np.array(x) for x in zip(*_curve(3), strict=True)], 3).tolist()
-    assert {r.doc_id: r.curve for r in got} == {i: grid[k] for i, k in plain.items()}
+    walk = {p: k for k, p in enumerate(_curve(3))}
+    assert walk == brute.curve(2, 3) or {(y, x): k for (x, y), k in walk.items()} == brute.curve(2, 3)
+    assert {r.doc_id: r.curve for r in got} == brute.places(rows, 3, brute.curve(2, 3))
     again = hilbert_shards(df.repartition(7), dims=("source", "weight"), bits=3).select("row.doc_id", "row.text", "curve", "shard", "slot").collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
@@ -680,17 +667,6 @@ def test_files_are_pruned_in_all_dimensions(spark, tmp_path):
 # ------------------------------------------------------------ 10 token counts
 
 
-def _plain_tokens(data: bytes, ranks: dict[bytes, int]) -> int:
-    """Tokens of one piece by the rule of the vocabulary: join the neighbours of the lowest rank until none is known."""
-    parts = [data[k : k + 1] for k in range(len(data))]
-    while len(parts) > 1:
-        rank, at = min(((ranks.get(a + b, 1 << 30), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-        if rank == 1 << 30:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return len(parts)
-
-
 @pytest.mark.parametrize("size", [(64, 1 << 20, 16 << 20), (7, 300, 2000)])
 def test_token_counts(frame, docs, monkeypatch, size):
     import base64
@@ -703,7 +679,7 @@ def test_token_counts(frame, docs, monkeypatch, size):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     cut = regex.compile(TC.encoder()._pat_str)
     got = TC.token_counts(frame(docs), block=block, stream_bytes=stream).collect()
-    want = Counter((i, sum(_plain_tokens(x.encode(), ranks) for x in cut.findall(t or ""))) for i, t, _ in docs)
+    want = Counter((i, sum(brute.merges(x.encode(), ranks) for x in cut.findall(t or ""))) for i, t, _ in docs)
     assert Counter((r.doc_id, r.n_tokens) for r in got) == want
     assert TC.token_counts(frame(NO_ROWS)).count() == 0
 
