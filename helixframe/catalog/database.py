@@ -27,6 +27,7 @@ from helixframe.sources import ndjson
 from helixframe.sources.config import Config, References, read_reference, table_fields
 from helixframe.sources.store import Folder, written
 
+#: Names of the API and its error messages are fixed values: clients compare them.
 VERSION = "0.1.0"
 #: States of another format are never loaded.
 FORMAT = 1764115200

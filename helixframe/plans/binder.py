@@ -25,6 +25,7 @@ from helixframe.plans import predicates as P
 from helixframe.plans.relation import ROW, Field, Order, Relation, quoted
 from helixframe.sources.store import numbered
 
+#: Error messages here and below are fixed values: clients compare them.
 _MISSING_COLUMN = "The database does not contain the column '{}'"
 _FLIPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
 _JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "leftSemi": "left_semi", "rightSemi": "left_semi", "leftAnti": "left_anti", "rightAnti": "left_anti"}

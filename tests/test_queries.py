@@ -194,6 +194,7 @@ def test_union_schema_tables(db):
     ]
 
 
+#: Queries in the given language, and the messages that clients compare.
 ERRORS = [
     ("nothing", "table 'nothing' not found in database"),
     ("default.invalidAction()", "unknown function 'invalidAction' at 1:9"),
