@@ -542,7 +542,9 @@ class Binder:
             table = rel.scan or next(t for t in self.tables.values() if name in t.references)
             found = table.df.where(F.col(quoted(table.primary_key)) == told).select(quoted(name)).limit(1).collect()
             require(found, f"No sequence found with primary key '{told}' in {title} MutationProfile")
-            own = list(found[0][0] or alphabet.missing * len(reference))
+            if found[0][0] is None:  # no sequence to stand for: every symbol of the others differs
+                return P.Constant(True) if distance >= len(reference) else P.IsNull(name)
+            own = list(found[0][0])
         else:
             own = list(reference)
             for position, symbol in changes:
