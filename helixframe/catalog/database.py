@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from helixframe.catalog import table as tables
 from helixframe.catalog.table import Table, insertions, with_rows
@@ -23,7 +24,7 @@ from helixframe.lang import arguments as A
 from helixframe.lang.parser import parse
 from helixframe.plans.binder import Binder
 from helixframe.plans.relation import ROW, SPARK_TYPES, Field, Relation, quoted
-from helixframe.sources import ndjson
+from helixframe.sources import arrow, ndjson
 from helixframe.sources.config import Config, References, read_reference, table_fields
 from helixframe.sources.store import Folder, written
 
@@ -217,8 +218,15 @@ class Database:
         return self.relation(query_string).result()
 
     def query_arrow(self, query_string: str) -> pa.Table:
+        """A result that the driver can hold; ``write_arrow`` takes any."""
         return self.query(query_string).toArrow()
 
+    def write_arrow(self, query_string: str, path: str) -> StructType:
+        """A result as Arrow streams below ``path``, in any store, written by the executors; gives the rows' schema."""
+        df = self.query(query_string)
+        arrow.write(df, path)
+        return df.schema
+
     def get_filtered_bitmap(self, table_name: str, filter_expression: str = "") -> set[int]:
         """The row ids that a filter selects."""
         return {r[0] for r in self.filtered_rows(table_name, filter_expression).toLocalIterator()}

@@ -27,3 +27,35 @@ def test_profile_of_a_row_without_sequence(spark, tmp_path):
     assert rows_of(engine.queries()["f17_profile_by_id"](spark, str(tmp_path))) == sql_rows("f17_profile_by_id", tmp_path)
     far = engine.LANGUAGE["f17_profile_by_id"][0]
     assert [engine.run(spark, str(tmp_path), far.replace("distance:=17", f"distance:={d}")).first()[0] for d in (31, 32)] == [494, 1500]
+
+
+def no_rows_on_the_driver(monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("a result passes the driver")
+
+    for way in ("toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(DataFrame, way, refuse)
+
+
+def test_arrow_sink_leaves_the_driver_out(spark, tmp_path, monkeypatch):
+    duckdb.sql(f"COPY (FROM '{DATA}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    no_rows_on_the_driver(monkeypatch)
+    assert rows_of(engine.queries()["s17_arrow"](spark, str(tmp_path))) == sql_rows("s17_arrow", tmp_path)
+
+
+def test_arrow_files_are_streams_of_a_bounded_size(spark, tmp_path):
+    import pyarrow as pa
+
+    from helixframe.sources import arrow
+
+    df = spark.range(0, 60_000, 1, 2).selectExpr("id", "CAST(date_add(DATE '2020-01-01', CAST(id % 9 AS INT)) AS DATE) AS day", "CASE WHEN id % 3 = 0 THEN repeat('x', 90) END AS s")
+    arrow.write(df, str(tmp_path / "out"), 1 << 19)
+    files = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-") and p.stat().st_size)
+    assert len(files) > 2 and max(p.stat().st_size for p in files) < 3 << 20
+    assert sum(pa.ipc.open_stream(p.read_bytes()).read_all().num_rows for p in files) == 60_000
+    again = arrow.read(spark, str(tmp_path / "out"), df.schema)
+    assert again.exceptAll(df).isEmpty() and again.count() == 60_000
+    arrow.write(df.where("id < 0"), str(tmp_path / "none"))
+    assert arrow.read(spark, str(tmp_path / "none"), df.schema).isEmpty()
