@@ -59,3 +59,9 @@ def test_arrow_files_are_streams_of_a_bounded_size(spark, tmp_path):
     assert again.exceptAll(df).isEmpty() and again.count() == 60_000
     arrow.write(df.where("id < 0"), str(tmp_path / "none"))
     assert arrow.read(spark, str(tmp_path / "none"), df.schema).isEmpty()
+
+
+def test_http_arrow_leaves_the_driver_out(spark, tmp_path, monkeypatch):
+    duckdb.sql(f"COPY (FROM '{DATA}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    no_rows_on_the_driver(monkeypatch)
+    assert rows_of(engine.queries()["s22_http_arrow"](spark, str(tmp_path))) == sql_rows("s22_http_arrow", tmp_path)
