@@ -33,6 +33,8 @@ VERSION = "0.1.0"
 #: States of another format are never loaded.
 FORMAT = 1764115200
 DEFAULT = "default"
+#: Bytes of rows, as their columns suggest, that a part of a clustered table may have on average.
+PART_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -137,7 +139,7 @@ class Database:
     def append(self, name: str, df: DataFrame, cluster: str | None = None, parts: int = 0, order: Sequence[str] = ()) -> None:
         """Add typed rows (as ``ndjson.parsed`` gives them) to a table: they are checked and written once, and then part of it, or not at all.
 
-        With ``cluster`` rows are laid out by the covered range of that sequence, in ``parts`` parts (0: as many as Spark chooses); ``order`` names columns, such as a
+        With ``cluster`` rows are laid out by the covered range of that sequence, in ``parts`` parts (0: as many as Spark chooses), or in more if so many would get large; ``order`` names columns, such as a
         date, by which the rows of a part are sorted.  Readers skip row groups by either.
         """
         own = self._table(name)
@@ -181,8 +183,13 @@ class Database:
         first = F.length(c) - F.length(F.ltrim(c, F.lit(missing)))
         last = F.length(F.rtrim(c, F.lit(missing)))
         keys = ["__from", "__to"]
+        row_bytes = 32 * len(own.fields) + 2 * sum(map(len, own.references.values()))
+        least = -(-df.count() * row_bytes // PART_BYTES)
         df = df.withColumns({"__from": first, "__to": last})
-        df = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+        if least > max(parts, 1):  # more than the parts may hold: a range that many rows share is cut as well, by the order and then by key
+            df = df.repartitionByRange(least, *keys, *map(quoted, order), F.xxhash64(F.col(quoted(own.primary_key))))
+        else:
+            df = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
         return df.sortWithinPartitions(*keys, *map(quoted, order)).drop(*keys)
 
     def clustered(self, name: str, sequence: str, parts: int) -> DataFrame:

@@ -102,3 +102,16 @@ def test_compressed_input_is_dealt_over_files(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len([p for p in (tmp_path / "input.xz").iterdir() if p.name.startswith("part-")]) == 4
+
+
+def test_large_tables_are_clustered_in_more_parts(spark, tmp_path, monkeypatch):
+    from helixframe import store_queries
+    from helixframe.catalog import database
+
+    monkeypatch.setattr(database, "PART_BYTES", 40_000)
+    held = []
+    monkeypatch.setattr(store_queries, "_empty", lambda s, empty=store_queries._empty: held.append(empty(s)) or held[-1])
+    duckdb.sql(f"COPY (FROM '{DATA}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    assert rows_of(store_queries.QUERIES["s11_clustered"](spark, str(tmp_path))) == sql_rows("s11_clustered", tmp_path)
+    files = [r[0] for r in held[0].tables["default"].df.selectExpr("input_file_name() AS f").groupBy("f").count().select("count").collect()]
+    assert sum(files) == 1500 and len(files) > 10 and max(files) < 250
