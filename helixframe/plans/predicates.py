@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ from helixframe.plans.relation import quoted
 
 PLAIN, UPPER, LOWER = "plain", "upper", "lower"
 _SWAP = {PLAIN: PLAIN, UPPER: LOWER, LOWER: UPPER}
-#: Sequences up to this length are compared by a native sum, longer ones in Arrow batches.
+#: Sequences up to this length are compared by a native sum, longer ones in Python workers.
 NATIVE_PROFILE = 64
 
 
@@ -270,30 +269,24 @@ class Profile(Predicate):
 
 
 def profile_distance(profile: str, alphabet: Alphabet):
-    """An Arrow UDF: how many symbols of a sequence can't stand for the profile's (null for a null sequence)."""
-    missing, may_be = alphabet.missing, alphabet.may_be
-    kinds = "".join(dict.fromkeys(profile))
-
-    @F.pandas_udf("int")
-    def distance(texts: pd.Series) -> pd.Series:
-        own = np.frombuffer(profile.encode(), np.uint8)
-        out = pd.Series([None] * len(texts), dtype="Int32")
-        some = np.flatnonzero(texts.notna())
-        step = max(1, (8 << 20) // len(own))  # texts of one matrix
-        for k in range(0, len(some), step):
-            part = texts.iloc[some[k : k + step]]
-            grid = np.frombuffer("".join(part).encode(), np.uint8).reshape(len(part), len(own))
-            wrong = np.zeros(len(part), np.int32)
-            for p in kinds:
-                if p != missing:
-                    fits = np.zeros(256, bool)
-                    fits[[ord(x) for x in may_be[p]]] = True
-                    columns = np.flatnonzero(own == ord(p))
-                    wrong += len(columns) - np.count_nonzero(fits[grid[:, columns]], axis=1).astype(np.int32)
-            out.iloc[some[k : k + step]] = wrong
-        return out
-
-    return distance
+    """A UDF: how many symbols of a sequence can't stand for the profile's (null for a null sequence).
+
+    A worker gets 100 rows at a time. An Arrow batch has 10,000, so what a worker holds would follow their length, in several copies.
+    """
+    kinds = [p for p in dict.fromkeys(profile) if p != alphabet.missing]
+    passes = []
+    for k in range(0, len(kinds), 8):  # a bit for each kind of symbol
+        bits = {p: 1 << i for i, p in enumerate(kinds[k : k + 8])}
+        unfit = bytes(sum(bit for p, bit in bits.items() if chr(x) not in alphabet.may_be[p]) for x in range(256))
+        passes.append((unfit, np.array([bits.get(p, 0) for p in profile], np.uint8)))
+
+    def distance(text: str | None) -> int | None:
+        if text is None:
+            return None
+        data = text.encode()
+        return sum(int(np.count_nonzero(np.frombuffer(data.translate(unfit), np.uint8).reshape(own.shape) & own)) for unfit, own in passes)
+
+    return F.udf(distance, "int", useArrow=False)
 
 
 def check_regex(pattern: str) -> None:

@@ -115,3 +115,33 @@ def test_large_tables_are_clustered_in_more_parts(spark, tmp_path, monkeypatch):
     assert rows_of(store_queries.QUERIES["s11_clustered"](spark, str(tmp_path))) == sql_rows("s11_clustered", tmp_path)
     files = [r[0] for r in held[0].tables["default"].df.selectExpr("input_file_name() AS f").groupBy("f").count().select("count").collect()]
     assert sum(files) == 1500 and len(files) > 10 and max(files) < 250
+
+
+def test_long_profiles_pass_no_large_batches(spark):
+    from pyspark.sql import functions as F
+
+    from helixframe.functions.alphabets import NUCLEOTIDE
+    from helixframe.plans.predicates import profile_distance
+
+    spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
+    try:
+        df = spark.range(3).select(profile_distance("ACGT" * 1000, NUCLEOTIDE)(F.expr("repeat('ACGA', 1000)")).alias("d"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.pythonUDF.arrow.enabled")
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [r.d for r in df.collect()] == [1000] * 3
+
+
+@pytest.mark.parametrize("kind", ["NUCLEOTIDE", "AMINO_ACID"])
+def test_long_profiles_of_all_symbols(spark, kind):
+    from helixframe.functions import alphabets
+    from helixframe.plans.predicates import profile_distance
+
+    alphabet = getattr(alphabets, kind)
+    symbols = alphabet.symbols
+    profile, texts = symbols * 5, [(symbols[k:] + symbols[:k]) * 5 for k in range(len(symbols))]
+    far = [sum(p != alphabet.missing and s not in alphabet.may_be[p] for p, s in zip(profile, t, strict=True)) for t in texts]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, s string")
+    rows = df.select("k", profile_distance(profile, alphabet)("s").alias("d")).orderBy("k").collect()
+    assert [r.d for r in rows] == [*far, None] and far[0] == 0 and len(set(far)) > 2
