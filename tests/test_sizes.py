@@ -145,3 +145,9 @@ def test_long_profiles_of_all_symbols(spark, kind):
     df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, s string")
     rows = df.select("k", profile_distance(profile, alphabet)("s").alias("d")).orderBy("k").collect()
     assert [r.d for r in rows] == [*far, None] and far[0] == 0 and len(set(far)) > 2
+
+
+@pytest.mark.parametrize("distance", [0, 5, 50, 200, 2249, 2250])
+def test_genome_profiles_pass_no_large_batches(spark, distance):
+    plan = engine.queries()[f"f17_genome_profile_{distance}"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
