@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import pytest
 
 from helixframe import queries as engine
@@ -151,3 +154,26 @@ def test_long_profiles_of_all_symbols(spark, kind):
 def test_genome_profiles_pass_no_large_batches(spark, distance):
     plan = engine.queries()[f"f17_genome_profile_{distance}"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def peak_mb(process, mark):
+    """What a process has held at most, if its environment has the mark."""
+    try:
+        if mark in (process / "environ").read_bytes().decode(errors="replace").split("\0"):
+            return int(re.search(r"VmHWM:\s+(\d+)", (process / "status").read_text())[1]) / 1024
+    except OSError:  # it has ended
+        pass
+    return 0
+
+
+def test_workers_of_genome_profiles_hold_no_more_over_more_rows(spark, tmp_path, monkeypatch):
+    peaks = []
+    for times in (1, 10):  # 1,500 rows, and more than the 10,000 of an Arrow batch
+        data = tmp_path / f"x{times}"
+        data.mkdir()
+        duckdb.sql(f"COPY (SELECT o.* REPLACE (o_orderkey + 100000 * k AS o_orderkey) FROM '{DATA}/orders.parquet' o, range({times}) r(k)) TO '{data}/orders.parquet'")
+        mark = f"HELIXFRAME_TEST={data}"
+        monkeypatch.setitem(spark.sparkContext.environment, *mark.split("="))  # workers of another environment are new ones
+        assert rows_of(engine.queries()["f17_genome_profile_5"](spark, str(data))) == sql_rows("f17_genome_profile_5", data)
+        peaks.append(max(peak_mb(p, mark) for p in Path("/proc").glob("[0-9]*")))
+    assert 0 < peaks[1] < peaks[0] + 30
